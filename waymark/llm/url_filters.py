@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, shared_table
 
 #: The rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -70,24 +70,23 @@ def strength(children: DataFrame, parent_mean: Column) -> Column:
 def reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host string, good int (1 or 0). Rows of levels: (level, key, alpha, beta), for host, domain, suffix, all."""
     hosts = outcomes.where("good is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # each level is a table of its own, a row a key; single numbers pass through the driver
+    hosts = shared_table(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = shared_table(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"))
-    one = lambda df, column: df.select(column.alias("x")).scalar()
-    mean = one(top, F.col("m"))
-    s0 = one(suffixes.withColumn("m", mean).agg(strength(suffixes, F.col("m")).alias("s")), F.col("s"))
-    suffixes = suffixes.withColumn("m0", mean).withColumn("a", s0 * F.col("m0") + F.col("k")).withColumn("b", s0 * (1 - F.col("m0")) + F.col("n") - F.col("k"))
-    up = suffixes.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    domains = domains.join(up, "suffix")
-    s1 = one(domains.agg(strength(domains, F.col("m")).alias("s")), F.col("s"))
-    domains = domains.withColumn("a", s1 * F.col("m") + F.col("k")).withColumn("b", s1 * (1 - F.col("m")) + F.col("n") - F.col("k"))
-    up = domains.select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    hosts = hosts.join(up, "domain")
-    s2 = one(hosts.agg(strength(hosts, F.col("m")).alias("s")), F.col("s"))
-    hosts = hosts.withColumn("a", s2 * F.col("m") + F.col("k")).withColumn("b", s2 * (1 - F.col("m")) + F.col("n") - F.col("k"))
+    n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()
+    mean = ((k or 0.0) + 1) / ((n or 0.0) + 2)
+    one = lambda df: F.lit(df.agg(strength(df, F.col("m")).alias("s")).first()["s"])
+    shrunk = lambda df, s: df.withColumn("a", s * F.col("m") + F.col("k")).withColumn("b", s * (1 - F.col("m")) + F.col("n") - F.col("k"))
+    up = lambda df, key: df.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
+    suffixes = suffixes.withColumn("m", F.lit(mean))
+    suffixes = shrunk(suffixes, one(suffixes))
+    domains = domains.join(up(suffixes, "suffix"), "suffix")
+    domains = shared_table(shrunk(domains, one(domains)), "domains")
+    hosts = hosts.join(up(domains, "domain"), "domain")
+    hosts = shrunk(hosts, one(hosts))
     level = lambda df, name, key: df.select(F.lit(name).alias("level"), F.col(key).alias("key"), F.col("a").alias("alpha"), F.col("b").alias("beta"))
-    all_ = top.select(F.lit("all").alias("level"), F.lit("").alias("key"), (F.col("m") * 2).alias("alpha"), ((1 - F.col("m")) * 2).alias("beta"))
+    all_ = outcomes.sparkSession.sql("select 'all' level, '' key").select("level", "key", F.lit(mean * 2).alias("alpha"), F.lit(2 - mean * 2).alias("beta"))
     return level(hosts, "host", "host").unionByName(level(domains, "domain", "domain")).unionByName(level(suffixes, "suffix", "suffix")).unionByName(all_)
 
 
@@ -100,11 +99,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_rate:
     """pages: page_id, url. Rules first; where none fits, block if even the upper bound of the host's posterior is too low."""
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     p = p.withColumn("_domain", domain_of(F.col("host"))).withColumn("_suffix", suffix_of(F.col("host")))
-    levels = reputation(outcomes).withColumn("bad", upper_bound(F.col("alpha"), F.col("beta")) < least_rate)
+    levels = shared_table(reputation(outcomes), "levels").withColumn("bad", upper_bound(F.col("alpha"), F.col("beta")) < least_rate)
     for name, key in (("host", "host"), ("domain", "_domain"), ("suffix", "_suffix")):
         p = p.join(levels.where(F.col("level") == name).select(F.col("key").alias(key), F.col("bad").alias(f"_bad_{name}")), key, "left")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    overall = levels.where("level = 'all'").select("bad").scalar()
+    overall = F.lit(levels.where("level = 'all'").first()["bad"])
     bad = F.when(F.col("host") == "", overall).otherwise(F.coalesce("_bad_host", "_bad_domain", "_bad_suffix", overall))
     return p.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"))
 
