@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, secret_scan, toxicity, url_filters, warc
+from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_mixing": mixing.op3_mixing,
+    "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL: dict[str, str] = {}
