@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
+from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_toxicity": toxicity.op7_toxicity,
