@@ -112,7 +112,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose text passes the base rules and the table, with the columns they came with."""
     names = docs.columns
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    return measured(plain).where(~base_failed() & passes(rules)).select("_row.*")
+    # the generator keeps the filter above the measures; pushed below, it would repeat them in itself again and again
+    return measured(plain).select("_row", F.explode(F.array("q")).alias("q")).where(~base_failed() & passes(rules)).select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
