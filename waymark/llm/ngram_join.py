@@ -110,7 +110,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 def signature(s: np.ndarray) -> np.int64:
     """Of a set: 64 bits that don't depend on its order."""
-    return (mixed(s ^ np.uint64(P)).sum(dtype=np.uint64) * np.uint64(P) + np.uint64(len(s))).view(np.int64)
+    total = mixed(s ^ np.uint64(P)).sum(dtype=np.uint64, keepdims=True)
+    return (total * np.uint64(P) + np.uint64(len(s))).view(np.int64)[0]
 
 
 def prefix_length(n: int) -> int:
@@ -201,13 +202,13 @@ def frequent_shingles(docs: DataFrame, firsts: DataFrame) -> np.ndarray:
 
 
 def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(t, sig, n, size): who has t in the prefix, wherever at least two different sets meet that haven't all met before."""
+    """(t, sig, n, at): who has t in the prefix and where, if at least two different sets meet there that haven't all met before."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task; other tasks' copies fall together below
         for batch in batches:
-            tokens, sigs, ns, befores = [], [], [], []
+            tokens, sigs, ns, befores, places = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 sig = int(signature(s))
                 if not len(s) or sig in seen:
@@ -219,14 +220,15 @@ def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 befores.append(np.concatenate([[0], p[:-1]]))
                 sigs.append(np.full(len(p), sig, dtype=np.int64))
                 ns.append(np.full(len(p), len(s), dtype=np.int32))
+                places.append(np.arange(len(p), dtype=np.int32))
             for a in range(0, len(tokens), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[a : a + 1000])) for x in (tokens, befores, sigs, ns)], ["t", "before", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[a : a + 1000])) for x in (tokens, befores, sigs, ns, places)], ["t", "before", "sig", "n", "at"])
 
-    every = docs.select("doc_id", "text").mapInArrow(rows, "t long, before long, sig long, n int")
+    every = docs.select("doc_id", "text").mapInArrow(rows, "t long, before long, sig long, n int, at int")
     at = Window.partitionBy("t")
-    met = every.select("t", "before", "sig", "n", F.min("sig").over(at).alias("lo"), F.max("sig").over(at).alias("hi"), F.min("before").over(at).alias("b0"), F.max("before").over(at).alias("b1"))
+    met = every.select("t", "before", "sig", "n", "at", F.min("sig").over(at).alias("lo"), F.max("sig").over(at).alias("hi"), F.min("before").over(at).alias("b0"), F.max("before").over(at).alias("b1"))
     met = met.where((F.col("lo") < F.col("hi")) & ~((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)))
-    return met.select("t", "sig", "n").distinct()
+    return met.select("t", "sig", "n", "at").distinct()
 
 
 def common_start(a: np.ndarray, b: np.ndarray) -> int:
@@ -235,99 +237,129 @@ def common_start(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else m
 
 
-def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of the sets, by a self-join of their trie. Sorted sets and the lengths of the starts that
-    neighbours share are the trie: what two sets share of a start is counted once and taken over from set to set."""
+def trie_search(x: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Which of the sets are linked with x. Sorted sets and the lengths of the starts that neighbours share are their trie: what
+    x has of a shared start is counted once and taken over from set to set."""
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    sets = [sets[i] for i in order]
-    shared = [0] + [common_start(a, b) for a, b in zip(sets, sets[1:], strict=False)]
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = []
-    for i, x in enumerate(sets):
-        nx = len(x)
-        counts, depth, pruned = np.arange(nx + 1), nx, None
-        for j in range(i + 1, len(sets)):
-            y = sets[j]
-            ny = len(y)
-            depth = min(depth, shared[j])  # of the last set counted and this one
-            if pruned is not None and depth >= pruned:
-                continue  # below a pruned node
-            pruned = None
-            if OF * min(nx, ny) < SAME * max(nx, ny) or find(i) == find(j):
-                continue
-            need = -(-SAME * (nx + ny) // (OF + SAME))
-            rest = y[depth:]
-            at = np.searchsorted(x, rest)
-            hit = x[np.minimum(at, nx - 1)] == rest
-            counts = np.concatenate([counts[: depth + 1], counts[depth] + np.cumsum(hit)])
-            if counts[ny] >= need:
-                root[find(j)] = find(i)
-                links.append((order[i], order[j]))
-            else:
-                # the first node below which what was shared and what is left of x fall short of what any link of x needs
-                left = nx - np.concatenate([[0], np.searchsorted(x, y, side="right")])
-                hopeless = np.flatnonzero(counts[: ny + 1] + left < -(-SAME * nx // OF))
-                pruned = int(hopeless[0]) if len(hopeless) and hopeless[0] > 0 else None
-            depth = ny
-    return links
+    nx, found, before = len(x), [], np.zeros(0, np.uint64)
+    counts, depth, pruned = np.zeros(1, np.int64), 0, None
+    for i in order:
+        y = sets[i]
+        ny = len(y)
+        depth = min(depth, common_start(before, y))  # of the last set counted and this one
+        if pruned is not None and depth >= pruned:
+            continue  # below a pruned node
+        pruned = None
+        if OF * min(nx, ny) < SAME * max(nx, ny):
+            continue
+        rest = y[depth:]
+        hit = x[np.minimum(np.searchsorted(x, rest), nx - 1)] == rest
+        counts = np.concatenate([counts[: depth + 1], counts[depth] + np.cumsum(hit)])
+        if counts[ny] * (OF + SAME) >= SAME * (nx + ny):
+            found.append(i)
+        else:
+            # the first node below which what was shared and what is left of x fall short of what any link of x needs
+            left = nx - np.concatenate([[0], np.searchsorted(x, y, side="right")])
+            hopeless = np.flatnonzero(counts[: ny + 1] + left < -(-SAME * nx // OF))
+            pruned = int(hopeless[0]) if len(hopeless) and hopeless[0] > 0 else None
+        before, depth = y, ny
+    return found
 
 
-def linked(docs: DataFrame, met: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(a, b) signatures of sets that are linked, enough of them to span every component."""
-    spark = docs.sparkSession
-    sizes = met.groupBy("t").agg(F.count("*").alias("g"))
-    blocks = met.join(sizes, "t").withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
-    # block b meets every block k under (t, lesser, greater), itself only where it is alone with the key
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
-    blocks = blocks.select("t", "sig", F.explode(pair).alias("p")).select("t", "sig", "p.i", "p.j")
-    needed = met.select("sig").distinct().join(reps, "sig").select("sig", F.col("rep").alias("doc_id"))
-    shared = spark.sparkContext.broadcast(frequent)
+def may_link(n1, at1, n2, at2):
+    """Length bound, and what can be shared before, at and after the shingle that both have at these places."""
+    most = F.least(at1, at2) + 1 + F.least(n1 - at1 - 1, n2 - at2 - 1)
+    return (OF * F.least(n1, n2) >= SAME * F.greatest(n1, n2)) & (most * (OF + SAME) >= SAME * (n1 + n2))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed([ordered(s, shared.value).view(np.int64) for s in shingle_sets(batch.column(1))])], ["sig", "s"])
 
-    texts = join_sized(docs.where("doc_id is not null").select("doc_id", "text"), needed, "doc_id", "inner", BROADCAST_ROWS)
-    sets = texts.select("sig", "text").mapInArrow(sets_of, "sig long, s array<long>")
-    # repeated ids have several texts under one id: the signature decides which of them is meant
-    rows = blocks.join(sets, "sig").repartition("t", "i", "j").sortWithinPartitions("t", "i", "j")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of those pairs that are linked. pairs: distinct (a, b); sets: sig, s. The partners of one `a` are searched as a
+    trie, at most about BLOCK of them in one task."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    partners = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int").alias("i"), F.col("b").alias("sig"))
+    queries = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.col("a").alias("sig"))
+    rows = partners.unionByName(queries).join(sets, "sig").withColumn("first", F.col("a") == F.col("sig"))
+    rows = rows.repartition("a", "i").sortWithinPartitions("a", "i", F.desc("first"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, sets = None, [], []
         out: list[tuple[int, int]] = []
 
-        def close():
-            if len(sets) > 1:
-                out.extend((names[a], names[b]) for a, b in trie_links(sets))
+        def settle():
+            if len(sets) > 1 and names[0] == key[0]:
+                out.extend((key[0], names[1 + k]) for k in trie_search(sets[0], sets[1:]))
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            t, i, j, sig = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("t", "i", "j", "sig"))
-            s = batch.column(batch.schema.get_field_index("s"))
-            values, offsets = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy()
+            a, i, sig = (batch.column(k).to_numpy().tolist() for k in range(3))
+            values, offsets = batch.column(3).values.to_numpy().view(np.uint64), batch.column(3).offsets.to_numpy()
             for r in range(batch.num_rows):
-                now = (t[r], i[r], j[r])
+                now = (a[r], i[r])
                 if now != key:
-                    close()
+                    settle()
                     key, names, sets = now, [], []
-                names.append(int(sig[r]))
+                names.append(sig[r])
                 sets.append(values[offsets[r] : offsets[r + 1]].copy())
             if len(out) > 5000:
                 yield batch_of()
                 out.clear()
-        close()
+        settle()
         yield batch_of()
 
-    return rows.select("t", "i", "j", "sig", "s").mapInArrow(joined, "a long, b long")
+    return rows.select("a", "i", "sig", "s").mapInArrow(joined, "a long, b long")
+
+
+def possible(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """The pairs that their prefixes by hash don't rule out. Below the lesser of the two last hashes both prefixes are complete,
+    so what is shared there and the shorter remainder bound the overlap. starts: sig, n, prefix."""
+    side = lambda x: starts.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("top", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
+    rest = lambda x: F.col(f"n{x}") - F.size(F.filter(f"p{x}", lambda v: v <= F.col("top")))
+    most = F.size(F.array_intersect("pa", "pb")) + F.least(rest("a"), rest("b"))
+    return both.where(most * (OF + SAME) >= SAME * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(a, b) signatures of sets that are linked, enough of them to span every component.
+
+    First everyone is held against one pivot of each meeting, then against another; at last all pairs of a meeting that are
+    still in different components.
+    """
+    wanted = met.select("sig").distinct().join(reps, "sig").select("sig", F.col("rep").alias("doc_id"))
+    starts = shared_table(join_sized(firsts.select("doc_id", "sig", "n", "prefix"), wanted, ["doc_id", "sig"], "left_semi", BROADCAST_ROWS).select("sig", "n", "prefix").dropDuplicates(["sig"]), "starts")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(want, s) for want, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True)]
+            got = [(want, ordered(s, shared.value).view(np.int64)) for want, s in got if int(signature(s)) == want]  # an id may have several texts
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.int64()), listed([s for _, s in got])], ["sig", "s"])
+
+    links, done, rows = None, None, met.withColumn("c", F.col("sig"))
+    for against in (F.min, F.max, None):
+        if against is None:
+            other = rows.select("t", *[F.col(x).alias(f"p_{x}") for x in ("c", "sig", "n", "at")])
+            both = rows.join(other, "t").where("sig < p_sig")
+        else:
+            pivot = rows.groupBy("t").agg(against(F.struct("c", "sig", "n", "at")).alias("p"))
+            both = rows.join(pivot, "t").select("t", "sig", "n", "at", "c", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("c", "sig", "n", "at")])
+        pairs = both.where((F.col("c") != F.col("p_c")) & may_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))).select(F.least("sig", "p_sig").alias("a"), F.greatest("sig", "p_sig").alias("b")).distinct()
+        pairs = shared_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        likely = shared_table(possible(pairs, starts), "likely")
+        ids = likely.select(F.col("a").alias("sig")).unionByName(likely.select(F.col("b").alias("sig"))).distinct().join(reps, "sig").select("sig", F.col("rep").alias("doc_id"))
+        texts = join_sized(docs.where("doc_id is not null").select("doc_id", "text"), ids, "doc_id", "inner", BROADCAST_ROWS)
+        sets = texts.select("sig", "text").mapInArrow(sets_of, "sig long, s array<long>").dropDuplicates(["sig"])
+        found = shared_table(verified(likely, sets), "links")
+        links = found if links is None else links.unionByName(found)
+        if against is not None:
+            cc = connected_components(links)
+            labelled = met.join(cc, met["sig"] == cc["node"], "left").select("t", "sig", "n", "at", F.coalesce("component", "sig").alias("c"))
+            at = Window.partitionBy("t")
+            rows = shared_table(labelled.withColumn("lo", F.min("c").over(at)).withColumn("hi", F.max("c").over(at)).where("lo < hi").drop("lo", "hi"), "apart")
+    return links
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -337,7 +369,7 @@ def components(docs: DataFrame) -> DataFrame:
     frequent = frequent_shingles(docs, firsts)
     reps = firsts.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     met = shared_table(meetings(docs, frequent), "meetings")
-    links = linked(docs, met, reps, frequent)
+    links = linked(docs, met, firsts, reps, frequent)
     named = links.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
     cc = connected_components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     out = firsts.select("doc_id", "n", "sig").join(reps.join(cc, reps["rep"] == cc["node"], "left").select("sig", F.coalesce("component", "rep").alias("c")), "sig", "left")
