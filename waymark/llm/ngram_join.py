@@ -5,8 +5,8 @@ among prefixes come last, the others by hash. Two sets of Jaccard similarity 0.8
 n - ceil(0.8 n) + 1 of each, so sets meet under the shingles of their prefixes. A meeting is skipped if all who meet there have
 met under the previous shingle of their prefixes already. Those who meet are stored in a trie in the global order and joined
 with one another: overlaps of shared trie paths are counted once, subtrees are pruned by the lengths that remain, and by
-components already known to be one. Meetings beyond BLOCK sets are split into pairs of blocks, so no task holds more than two
-blocks at once; every pair still meets. Equal sets are one node throughout, so exact copies cost nothing.
+components already known to be one. Meetings of more than PAIRED sets that no pivot explains are counted in pairs of blocks, so
+no task holds more than two blocks at once; every pair still meets. Equal sets are one node throughout, so exact copies cost nothing.
 
 Null texts and texts without words have an empty set and are their own component. Texts of fewer than five words have their
 whole sequence as one shingle. Repeated rows are copies. A null doc_id takes part and never names a component unless all of its
@@ -27,8 +27,8 @@ from .common import connected_components, join_sized, shared_table
 
 WORDS, SAME, OF = 5, 80, 100
 #: A shingle in more prefixes than this is moved to the end of the order, as long as the list of them stays this short.
-FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 3
-BLOCK = 512
+FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 2
+BLOCK, PAIRED = 512, 64
 BROADCAST_ROWS = 2_000_000
 SLICE = 4 << 20
 P = 0x9E3779B97F4A7C15
@@ -228,7 +228,7 @@ def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     at = Window.partitionBy("t")
     met = every.select("t", "before", "sig", "n", "at", F.min("sig").over(at).alias("lo"), F.max("sig").over(at).alias("hi"), F.min("before").over(at).alias("b0"), F.max("before").over(at).alias("b1"))
     met = met.where((F.col("lo") < F.col("hi")) & ~((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)))
-    return met.select("t", "sig", "n", "at").distinct()
+    return met.select("t", "before", "sig", "n", "at").distinct()
 
 
 def common_start(a: np.ndarray, b: np.ndarray) -> int:
@@ -321,6 +321,72 @@ def possible(pairs: DataFrame, starts: DataFrame) -> DataFrame:
     return both.where(most * (OF + SAME) >= SAME * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def crowded(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) that link components among the members of large meetings. many: t, k, g, sig, c, own; block by block, each pair of
+    blocks once, the overlaps of all pairs of a block counted at once from the shingles that the block shares."""
+    blocks = many.withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j")))
+    blocks = blocks.select("t", "k", "sig", "c", "own", F.explode(pair).alias("p")).select("t", "k", "p.i", "p.j", "sig", "c", "own")
+    rows = blocks.join(sets, "sig").repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, out = None, [], []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            s = batch.column(7)
+            values, offsets = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy()
+            for r, row in enumerate(zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True)):
+                if row[:4] != now:
+                    out.extend(block_links(group))
+                    now, group = row[:4], []
+                group.append((*row[4:], values[offsets[r] : offsets[r + 1]].copy()))
+            if len(out) > 5000:
+                yield batch_of()
+                out.clear()
+        out.extend(block_links(group))
+        yield batch_of()
+
+    return rows.select("t", "k", "i", "j", "sig", "c", "own", "s").mapInArrow(joined, "a long, b long")
+
+
+def block_links(group: list[tuple]) -> list[tuple[int, int]]:
+    """group: (sig, component, own, set). Links between members of different components, of which one at least is `own`."""
+    if len(group) < 2:
+        return []
+    n = np.array([len(g[3]) for g in group])
+    tokens, who = np.concatenate([g[3] for g in group]), np.repeat(np.arange(len(group)), n)
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    who, overlap = who[shared], np.zeros((len(group), len(group)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    column, who = column[order], who[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [start, start + 2048])
+        m = np.zeros((len(group), 2048), dtype=np.float32)
+        m[who[a:b], column[a:b] - start] = 1
+        overlap += m @ m.T
+    label, own = np.array([g[1] for g in group]), np.array([g[2] for g in group])
+    ok = (overlap * (OF + SAME) >= SAME * (n[:, None] + n[None, :])) & (label[:, None] != label[None, :]) & (own[:, None] | own[None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y:
+            root[x] = y
+            links.append((group[i][0], group[j][0]))
+    return links
+
+
 def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b) signatures of sets that are linked, enough of them to span every component.
 
@@ -337,13 +403,27 @@ def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame,
             got = [(want, ordered(s, shared.value).view(np.int64)) for want, s in got if int(signature(s)) == want]  # an id may have several texts
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.int64()), listed([s for _, s in got])], ["sig", "s"])
 
+    # what most others share most of makes the best pivot: in a family of edited copies that is the text they were made from
+    weights = met.join(met.groupBy("t").agg(F.count("*").alias("g")), "t").groupBy("sig").agg((F.sum("g") / F.first("n")).alias("w"))
+    met = shared_table(met.join(weights, "sig"), "weighed")
     links, done, rows = None, None, met.withColumn("c", F.col("sig"))
-    for against in (F.min, F.max, None):
-        if against is None:
-            other = rows.select("t", *[F.col(x).alias(f"p_{x}") for x in ("c", "sig", "n", "at")])
-            both = rows.join(other, "t").where("sig < p_sig")
+    for turn in (1, 2, 3):
+        last = turn == 3
+        if last:
+            # only sets of about the same size can link: a meeting falls apart into classes of size, each with the next one above
+            level = F.floor(F.log(F.col("n")) / float(np.log(OF / SAME))).cast("int")
+            part = rows.select("*", F.explode(F.array(F.struct(level.alias("k"), F.lit(True).alias("own")), F.struct((level - 1).alias("k"), F.lit(False).alias("own")))).alias("x")).select("*", "x.*").drop("x", "w")
+            sizes = part.groupBy("t", "k").agg(F.count("*").alias("g"), F.max("own").alias("any"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("any and lo < hi").select("t", "k", "g")
+            part = shared_table(part.join(sizes, ["t", "k"]), "classes")
+            few = part.where(F.col("g") <= PAIRED)
+            other = few.where("own").select("t", "k", *[F.col(x).alias(f"p_{x}") for x in ("before", "c", "sig", "n", "at")])
+            apart = (F.col("before") != F.col("p_before")) | (F.col("before") == 0)  # else they have met there
+            both = few.join(other, ["t", "k"]).where(apart & (~F.col("own") | (F.col("sig") < F.col("p_sig"))))
         else:
-            pivot = rows.groupBy("t").agg(against(F.struct("c", "sig", "n", "at")).alias("p"))
+            heaviest = F.max(F.struct("w", "sig", "n", "at", "c")).alias("p")
+            pivot = rows.groupBy("t").agg(heaviest)
+            if turn == 2:  # of those whom the first pivot doesn't have
+                pivot = rows.join(pivot.select("t", F.col("p.c").alias("first")), "t").where("c != first").groupBy("t").agg(heaviest)
             both = rows.join(pivot, "t").select("t", "sig", "n", "at", "c", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("c", "sig", "n", "at")])
         pairs = both.where((F.col("c") != F.col("p_c")) & may_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))).select(F.least("sig", "p_sig").alias("a"), F.greatest("sig", "p_sig").alias("b")).distinct()
         pairs = shared_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
@@ -353,10 +433,15 @@ def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame,
         texts = join_sized(docs.where("doc_id is not null").select("doc_id", "text"), ids, "doc_id", "inner", BROADCAST_ROWS)
         sets = texts.select("sig", "text").mapInArrow(sets_of, "sig long, s array<long>").dropDuplicates(["sig"])
         found = shared_table(verified(likely, sets), "links")
+        if last:
+            many = part.where(F.col("g") > PAIRED)
+            needed = many.select("sig").distinct().join(reps, "sig").select("sig", F.col("rep").alias("doc_id"))
+            texts = join_sized(docs.where("doc_id is not null").select("doc_id", "text"), needed, "doc_id", "inner", BROADCAST_ROWS)
+            found = found.unionByName(shared_table(crowded(many, texts.select("sig", "text").mapInArrow(sets_of, "sig long, s array<long>").dropDuplicates(["sig"])), "links"))
         links = found if links is None else links.unionByName(found)
-        if against is not None:
+        if not last:
             cc = connected_components(links)
-            labelled = met.join(cc, met["sig"] == cc["node"], "left").select("t", "sig", "n", "at", F.coalesce("component", "sig").alias("c"))
+            labelled = met.join(cc, met["sig"] == cc["node"], "left").select("t", "before", "sig", "n", "at", "w", F.coalesce("component", "sig").alias("c"))
             at = Window.partitionBy("t")
             rows = shared_table(labelled.withColumn("lo", F.min("c").over(at)).withColumn("hi", F.max("c").over(at)).where("lo < hi").drop("lo", "hi"), "apart")
     return links
