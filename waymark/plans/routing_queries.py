@@ -79,12 +79,12 @@ def o2_coverage(spark, sf):
     return routing.coverage(p, cuts).withColumn("first_left", R6(F.col("first_left"))).withColumn("last_left", R6(F.col("last_left")))
 
 
-@query("o7_offset_intervals", net("SELECT ref_id, round((ref_id%256)::DOUBLE/256.0::DOUBLE*len, 6) AS lb, round((ref_id%256+1)::DOUBLE/256.0::DOUBLE*len, 6) AS ub FROM (SELECT ref_id, sum(length_m) AS len FROM walks JOIN segments USING (segment_id) GROUP BY ref_id)", WALKS))
+@query("o7_offset_intervals", net("SELECT ref_id, round((ref_id%256)::DOUBLE/256.0::DOUBLE*len, 10) AS lb, round((ref_id%256+1)::DOUBLE/256.0::DOUBLE*len, 10) AS ub FROM (SELECT ref_id, sum(length_m) AS len FROM walks JOIN segments USING (segment_id) GROUP BY ref_id)", WALKS))
 def o7_offset_intervals(spark, sf):
     p = path(spark, sf).groupBy("ref_id").agg(F.sum("length_m").alias("len"))
     none = F.lit(None).cast("double")
     lb, ub = routing.offset_interval(F.col("ref_id") % 256, none, none, F.col("len"))
-    return p.select("ref_id", R6(lb).alias("lb"), R6(ub).alias("ub"))
+    return p.select("ref_id", F.round(lb, 10).alias("lb"), F.round(ub, 10).alias("ub"))
 
 
 @query("o8_offset_overflow", net("SELECT ref_id, (ref_id%500)+(ref_id%300) >= len AS overflow FROM (SELECT ref_id, sum(length_m) AS len FROM walks JOIN segments USING (segment_id) GROUP BY ref_id)", WALKS))
