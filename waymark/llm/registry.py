@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
+from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, oracles, quality_rules, secret_scan, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": oracles.OP1,
+    "op6_url_filters": oracles.OP6,
+    "op9_quality_rules": oracles.op9(quality_rules.RULES, quality_rules.STOP_WORDS, quality_rules.BASE_WORDS, quality_rules.BASE_REPEAT_PERCENT),
+    "op10_ngram_join": oracles.OP10,
+}
