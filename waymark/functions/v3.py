@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
@@ -12,9 +12,24 @@ SIDE = ("OnRoadOrUnknown", "Right", "Left", "Both")
 LRP = "struct<lon:double,lat:double,frc:int,fow:int,lfrcnp:int,bearing_lb:double,bearing_ub:double,dnp_lb:double,dnp_ub:double,pos_offset_raw:int,neg_offset_raw:int>"
 
 
+def with_bytes(df: DataFrame, binary: str, name: str = "bytes") -> DataFrame:
+    """Adds the bytes of a binary as array<int>, null for null; all readers below take that column. The generator keeps it a
+    column of its own, so that expressions over it stay small."""
+    h = F.hex(binary)
+    codes = F.transform(F.sequence(F.lit(0), F.octet_length(binary) - 1), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    value = F.when(F.octet_length(binary) > 0, codes).otherwise(F.when(F.col(binary).isNotNull(), F.array().cast("array<int>")))
+    return df.withColumn("_h", F.array(F.struct(value.alias("v")))).select("*", F.explode("_h").alias("_x")).select(*[c for c in df.columns if c != name], F.col("_x.v").alias(name))
+
+
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """Keeps computed columns from being computed again inside what is built on them."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_x")).select(*rest, *[F.col(f"_x.{c}").alias(c) for c in names])
+
+
 def byte(b: Column, i) -> Column:
-    """Byte i (from 0) of a binary as int; null beyond the end."""
-    return F.conv(F.nullif(F.hex(F.substring(b, i + 1, 1)), F.lit("")), 16, 10).cast("int") if isinstance(i, int) else F.conv(F.nullif(F.substring(F.hex(b), 2 * i + 1, F.lit(2)), F.lit("")), 16, 10).cast("int")
+    """Byte i (from 0); null beyond the end."""
+    return F.get(b, F.lit(i) if isinstance(i, int) else i)
 
 
 def absolute(b: Column, i) -> Column:
@@ -45,7 +60,7 @@ def point(lon, lat, attr, path, dnp, first=False, sector=None, pos=None, neg=Non
 
 def location_type(b: Column) -> Column:
     """From the status byte and, where two types share it, the length."""
-    n, s = F.octet_length(b), byte(b, 0)
+    n, s = F.size(b), byte(b, 0)
     area = F.shiftright(s.bitwiseAND(F.lit(0x40)), 5) + F.shiftright(s.bitwiseAND(F.lit(0x10)), 4)
     spot, attr = s.bitwiseAND(F.lit(0x20)) != 0, s.bitwiseAND(F.lit(0x08)) != 0
     return (
@@ -59,7 +74,7 @@ def location_type(b: Column) -> Column:
 
 def error_code(b: Column) -> Column:
     """Why a binary can't be read; null where it can."""
-    n, s, kind = F.octet_length(b), byte(b, 0), location_type(b)
+    n, s, kind = F.size(b), byte(b, 0), location_type(b)
     last4 = byte(b, F.floor(n / 7).cast("int") * 7 + F.lit(1))
     asked = F.shiftright(last4.bitwiseAND(F.lit(0x40)), 6) + F.shiftright(last4.bitwiseAND(F.lit(0x20)), 5)
     return (
@@ -85,7 +100,7 @@ def middle_points(b: Column, first: Column, count: Column) -> Column:
 
 def lrps(b: Column) -> Column:
     """array of points of the types that have them, else null. Rows with an error_code give null."""
-    n, kind = F.octet_length(b), location_type(b)
+    n, kind = F.size(b), location_type(b)
     first = point(absolute(b, 1), absolute(b, 4), byte(b, 7), byte(b, 8), byte(b, 9))
     count = F.floor(n / 7).cast("int") - 2
     body = middle_points(b, first, count)
@@ -109,7 +124,7 @@ def coordinates(b: Column) -> Column:
     """array of (lon, lat) of the shapes: point, centre, corners, vertices; null for types with location reference points."""
     kind = location_type(b)
     at = lambda i: F.struct(absolute(b, i).alias("lon"), absolute(b, i + 3).alias("lat"))
-    ring = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(b) - 1) / 6).cast("int") - 1), lambda k: at(1 + 6 * k))
+    ring = F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / 6).cast("int") - 1), lambda k: at(1 + 6 * k))
     return F.when(error_code(b).isNotNull(), None).when(kind.isin("GeoCoordinate", "Circle"), F.array(at(1))).when(kind.isin("Rectangle", "Grid"), F.array(at(1), at(7))).when(kind == "Polygon", ring)
 
 

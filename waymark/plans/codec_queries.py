@@ -38,11 +38,16 @@ def looks_base64(s: Column) -> Column:
     return (s.rlike("^[A-Za-z0-9_-]*$") & (F.length(s) % 4 == 0)) | s.rlike("[+/=]")
 
 
-def detected(s: Column) -> Column:
-    """'v3', 'tpeg' or null: base64 first if it looks like it, then hex, then base64 after all."""
-    b, h = F.try_to_binary(s, F.lit("base64")), F.try_to_binary(s, F.lit("hex"))
-    is_v3, is_tpeg = v3.error_code(b).isNull(), lambda x: (F.octet_length(x) >= 7) & (v3.byte(x, 0) == 8) & (F.octet_length(x) == v3.byte(x, 1) + 2) & v3.byte(x, 4).isin(0, 2)
-    return F.when(looks_base64(s) & is_v3, "v3").when(looks_base64(s) & is_tpeg(b), "tpeg").when(is_tpeg(h), "tpeg").when(is_v3, "v3")
+def detect(df: DataFrame, ref: str) -> DataFrame:
+    """Adds format: 'v3', 'tpeg' or null; base64 first if it looks like it, then hex, then base64 after all."""
+    s = F.col(ref)
+    d = df.withColumn("_b64", F.try_to_binary(s, F.lit("base64"))).withColumn("_hex", F.try_to_binary(s, F.lit("hex")))
+    d = v3.with_bytes(v3.with_bytes(d, "_b64", "_b"), "_hex", "_h16")
+    b, h = F.col("_b"), F.col("_h16")
+    is_v3 = b.isNotNull() & v3.error_code(b).isNull()
+    is_tpeg = lambda x: F.coalesce((F.size(x) >= 7) & (F.get(x, F.lit(0)) == 8) & (F.size(x) == F.get(x, F.lit(1)) + 2) & F.get(x, F.lit(4)).isin(0, 2), F.lit(False))
+    kind = F.when(looks_base64(s) & is_v3, "v3").when(looks_base64(s) & is_tpeg(b), "tpeg").when(is_tpeg(h), "tpeg").when(is_v3, "v3")
+    return d.withColumn("format", kind).drop("_b64", "_hex", "_b", "_h16")
 
 
 def vectors(spark) -> DataFrame:
@@ -51,7 +56,7 @@ def vectors(spark) -> DataFrame:
 
 @query("s1_detect_format", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{'v3' if k[0] == 'V' else 'tpeg'}')" for k in VECTORS) + ") AS t(vec_id, format)")
 def s1_detect_format(spark, sf):
-    return vectors(spark).select("vec_id", detected(F.col("ref")).alias("format"))
+    return detect(vectors(spark), "ref").select("vec_id", "format")
 
 
 @query("s2_base64_heuristic", "SELECT doc_id, (regexp_full_match(s, '[A-Za-z0-9_-]*') AND length(s) % 4 = 0) OR regexp_matches(s, '[+/=]') AS looks FROM (SELECT doc_id, split_part(text, ' ', 1) AS s FROM documents)")
@@ -82,7 +87,7 @@ def lines(spark, sf) -> DataFrame:
     a, b = F.element_at("f.geometry", 1), F.element_at("l.geometry", -1)
     null = F.lit(None)
     lrp = lambda p, side, lf, s, dn: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), F.col(f"{side}.frc").alias("frc"), F.col(f"{side}.fow").alias("fow"), lf.cast("int").alias("lfrcnp"), s.alias("bearing_lb"), (s + v3.SECTOR_DEG).alias("bearing_ub"), dn.cast("double").alias("dnp_lb"), (dn + v3.BUCKET_M).cast("double").alias("dnp_ub"), null.cast("int").alias("pos_offset_raw"), null.cast("int").alias("neg_offset_raw"))
-    return ends.select("ref_id", F.array(lrp(a, "f", r % 8, s0, d), lrp(b, "l", null, s1, null)).alias("points"))
+    return v3.apart(ends.select("ref_id", F.array(lrp(a, "f", r % 8, s0, d), lrp(b, "l", null, s1, null)).alias("points")), "points")
 
 
 @query("c17_encode_line", net("SELECT ref_id, to_base64(unhex(hex)) AS ref FROM bytes", WALKS, LINES))
@@ -90,6 +95,10 @@ def c17_encode_line(spark, sf):
     return lines(spark, sf).select("ref_id", F.base64(v3.encode_line(F.col("points"))).alias("ref"))
 
 
+def read_lines(spark, sf) -> DataFrame:
+    return v3.with_bytes(c17_encode_line(spark, sf).select("ref_id", F.unbase64("ref").alias("raw")), "raw", "b").select("ref_id", "b")
+
+
 BYTE = lambda k: f"CAST(('0x' || substr(hex, {2 * k + 1}, 2)) AS INTEGER)"
 
 
@@ -104,14 +113,14 @@ BYTE = lambda k: f"CAST(('0x' || substr(hex, {2 * k + 1}, 2)) AS INTEGER)"  # no
     ),
 )
 def c2_decode_line(spark, sf):
-    b = c17_encode_line(spark, sf).select("ref_id", F.unbase64("ref").alias("b"))
+    b = read_lines(spark, sf)
     p = b.select("ref_id", F.posexplode(v3.lrps(F.col("b"))).alias("lrp_idx", "p"))
     return p.select("ref_id", "lrp_idx", R6(F.col("p.lon")).alias("lon"), R6(F.col("p.lat")).alias("lat"), "p.frc", "p.fow", "p.lfrcnp", "p.bearing_lb", "p.dnp_lb")
 
 
 @query("c1_location_type", net("SELECT ref_id, 'Line' AS location_type, CAST(NULL AS VARCHAR) AS error_code FROM bytes", WALKS, LINES))
 def c1_location_type(spark, sf):
-    b = c17_encode_line(spark, sf).select("ref_id", F.unbase64("ref").alias("b"))
+    b = read_lines(spark, sf)
     return b.select("ref_id", v3.location_type(F.col("b")).alias("location_type"), v3.error_code(F.col("b")).alias("error_code"))
 
 
@@ -124,7 +133,7 @@ EVENT_HEX = "lpad(to_hex(event_id*2654435761 % 16777216), 6, '0')"
 )
 def c8_coordinates(spark, sf):
     u = (F.col("event_id") * 2_654_435_761) % 16_777_216
-    b = fx.table(spark, sf, "events").select("event_id", v3.bytes_of(u, 3).alias("b"))
+    b = v3.with_bytes(fx.table(spark, sf, "events").select("event_id", v3.bytes_of(u, 3).alias("raw")), "raw", "b")
     return b.select("event_id", R6(v3.absolute(F.col("b"), 0)).alias("lon"), v3.relative(F.col("b"), 1, F.lit(0.0)).alias("step"))
 
 
@@ -139,9 +148,9 @@ def c3_point_along_line(spark, sf):
     """Points along lines written and read back: attributes, side and orientation survive."""
     p = lines(spark, sf)
     r = F.col("ref_id")
-    b = p.select("ref_id", v3.encode_point_along_line(F.col("points"), (r % 4).cast("int"), (F.expr("ref_id div 4") % 4).cast("int")).alias("b"))
-    x = F.col("b")
-    return b.select("ref_id", F.base64(x).alias("ref"), v3.location_type(x).alias("location_type"), v3.orientation(x).alias("orientation"), v3.side_of_road(x).alias("side_of_road"), F.size(v3.lrps(x)).alias("n_lrps"))
+    b = p.select("ref_id", v3.encode_point_along_line(F.col("points"), (r % 4).cast("int"), (F.expr("ref_id div 4") % 4).cast("int")).alias("raw"))
+    b, x = v3.with_bytes(b, "raw", "b"), F.col("b")
+    return b.select("ref_id", F.base64("raw").alias("ref"), v3.location_type(x).alias("location_type"), v3.orientation(x).alias("orientation"), v3.side_of_road(x).alias("side_of_road"), F.size(v3.lrps(x)).alias("n_lrps"))
 
 
 SHAPES = {"GeoCoordinate": "23", "Circle": "03", "Rectangle": "43", "Grid": "43", "Polygon": "13", "ClosedLine": "5B", "PoiWithAccessPoint": "2B"}
@@ -154,8 +163,8 @@ def c7_shapes(spark, sf):
     h = F.upper(F.md5(F.col("event_id").cast("string").cast("binary")))
     long = F.concat(h, h)
     kinds = F.array(*[F.struct(F.lit(k).alias("made_as"), F.concat(F.lit(SHAPES[k]), F.substring(long, 1, 2 * n)).alias("hex")) for k, n in size.items()])
-    b = fx.table(spark, sf, "events").select("event_id", F.explode(kinds).alias("k")).select("event_id", "k.made_as", F.unhex("k.hex").alias("b"))
-    x = F.col("b")
+    b = fx.table(spark, sf, "events").select("event_id", F.explode(kinds).alias("k")).select("event_id", "k.made_as", F.unhex("k.hex").alias("raw"))
+    b, x = v3.with_bytes(b, "raw", "b"), F.col("b")
     cols, rows = v3.grid_size(x)
     return b.select("event_id", "made_as", v3.location_type(x).alias("location_type"), v3.error_code(x).alias("error_code"), F.size(v3.coordinates(x)).alias("n_corners"), F.size(v3.lrps(x)).alias("n_lrps"), v3.radius_m(x).alias("radius_m"), cols.alias("n_cols"), rows.alias("n_rows"))
 
@@ -227,7 +236,7 @@ def c12_decode_tpeg(spark, sf):
 
 @query("c28_reference_summary", net("SELECT ref_id, 'Line' AS location_type, CAST(2 AS INTEGER) AS n_lrps FROM lines", WALKS, LINES))
 def c28_reference_summary(spark, sf):
-    b = c17_encode_line(spark, sf).select("ref_id", F.unbase64("ref").alias("b"))
+    b = read_lines(spark, sf)
     return b.select("ref_id", v3.location_type(F.col("b")).alias("location_type"), F.size(v3.lrps(F.col("b"))).alias("n_lrps"))
 
 
