@@ -1,0 +1,44 @@
+"""Whole decodes: each walk described by two points and decoded again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from waymark.operators import decode, routing
+from waymark.plans import fixtures as fx
+from waymark.plans.params import DEFAULT, merged
+from waymark.plans.registry import query
+from waymark.plans.routing_queries import e12_last_bearing
+
+#: Walks may turn at a node more sharply than a default decode lets routes turn.
+PARAMS = merged(DEFAULT, {"dnp_tolerance_pct": 0.1})
+
+
+def described(spark, sf) -> DataFrame:
+    """Two points a walk: attributes of the leg at the start node, of the last segment at the end node."""
+    s, w = fx.segments(spark, sf), fx.walks(spark, sf)
+    n = fx.nodes(spark, sf).select("node_id", "lon", "lat")
+    ends = w.join(s.select("segment_id", "end_node", F.col("frc").alias("frc1"), F.col("fow").alias("fow1")), "segment_id").groupBy("ref_id").agg(F.min_by("start_node", "step").alias("n0"), F.max_by(F.struct("end_node", "frc1", "fow1"), "step").alias("l"))
+    a = routing.leg_attributes(w, s).join(ends, "ref_id").join(e12_last_bearing(spark, sf).withColumnRenamed("bearing", "bearing1"), "ref_id")
+    none = F.lit(None)
+    sector = lambda b: F.floor(F.col(b) / 11.25) * 11.25
+    bucket = F.floor(F.col("dnp_m") / 58.59375) * 58.59375
+    first = F.struct(F.lit(0).alias("lrp_idx"), F.col("n0").alias("node_id"), F.col("frc").alias("frc"), F.col("fow").alias("fow"), sector("bearing").alias("bearing_lb"), (sector("bearing") + 11.25).alias("bearing_ub"), F.col("lfrcnp").alias("lfrcnp"), bucket.alias("dnp_lb"), (bucket + 58.59375).alias("dnp_ub"))
+    last = F.struct(F.lit(1).alias("lrp_idx"), F.col("l.end_node").alias("node_id"), F.col("l.frc1").alias("frc"), F.col("l.fow1").alias("fow"), sector("bearing1").alias("bearing_lb"), (sector("bearing1") + 11.25).alias("bearing_ub"), none.cast("int").alias("lfrcnp"), none.cast("double").alias("dnp_lb"), none.cast("double").alias("dnp_ub"))
+    p = a.select("ref_id", F.explode(F.array(first, last)).alias("p")).select("ref_id", "p.*")
+    return p.join(n, "node_id").drop("node_id")
+
+
+@query("r16_decode")
+def r16_decode(spark, sf):
+    d = decode.decode(described(spark, sf), fx.segments(spark, sf), fx.restrictions(spark, sf), PARAMS)
+    return d.select("ref_id", "ok", "error_code", "place", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), F.round("length_m", 6).alias("length_m"))
+
+
+@query("e20_round_trip")
+def e20_round_trip(spark, sf):
+    """Per outcome: decodes that return the very walk, another way of about its length, or none."""
+    w = fx.walks(spark, sf).groupBy("ref_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("step", "segment_id"))), lambda x: x["segment_id"].cast("string"))).alias("walk"))
+    r = r16_decode(spark, sf).join(w, "ref_id")
+    return r.groupBy(F.when(~F.col("ok"), F.col("error_code")).when(F.col("path") == F.col("walk"), "same").otherwise("other").alias("outcome")).agg(F.count("*").alias("n"))
