@@ -179,12 +179,12 @@ def g5_bearing_at_offset(spark, sf):
     return s.select("segment_id", R6(F.col("ahead")).alias("ahead"), R6(F.col("behind")).alias("behind"))
 
 
-@query("g6_interpolate_at", net(f"SELECT segment_id, k, round({along('', '(l1+l2)*k/4.0', 'x')}, 6) AS lon, round({along('', '(l1+l2)*k/4.0', 'y')}, 6) AS lat FROM segments, (SELECT unnest([0,1,2,3,4]) AS k)"))
+@query("g6_interpolate_at", net(f"SELECT segment_id, k, round({along('', '(l1+l2)*k/4.0', 'x')}, 9) AS lon, round({along('', '(l1+l2)*k/4.0', 'y')}, 9) AS lat FROM segments, (SELECT unnest([0,1,2,3,4]) AS k)"))
 def g6_interpolate_at(spark, sf):
     g = F.col("geometry")
     s = fx.segments(spark, sf).select("segment_id", "geometry", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     s = s.withColumn("p", geo.interpolate(g, geo.polyline_length_m(g) * F.col("k") / 4.0))
-    return s.select("segment_id", "k", R6(F.col("p.lon")).alias("lon"), R6(F.col("p.lat")).alias("lat"))
+    return s.select("segment_id", "k", F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"))
 
 
 @query("g7_tile_of_point", net(f"SELECT lrp_id, {TX('lon')} AS x, {TY('lat')} AS y FROM points", POINTS))
