@@ -220,6 +220,36 @@ def test_wrapper_inference():
     assert html_extraction.aligned(a, b) == ("<ul>", item, "</ul>", ("?", ("<h2>", "#", "</h2>")), "<p>", "#", "</p>")
 
 
+def test_slots_at_one_path(spark):
+    """Article and boilerplate at the same tag path, in two places of the wrapper and in two turns of a repeat."""
+    apart = "<html><body><div><p>Same on all pages</p></div><h1>Title {i}</h1><div><p>Article {i}</p></div></body></html>"
+    turns = "<html><body><div><p>Same on all pages</p></div><div><p>Article {i}</p></div></body></html>"
+    pages = [(i, "http://apart.b/", apart.format(i=i)) for i in range(4)] + [(10 + i, "http://turns.b/", turns.format(i=i)) for i in range(4)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(p, html_extraction.wrappers(p)).collect()}
+    assert got == {i: f"Title {i}\nArticle {i}" for i in range(4)} | {10 + i: f"Article {i}" for i in range(4)}
+
+
+def random_stream(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 4)):
+        tag = rng.choice("abc")
+        out += ["#"] if depth > 2 or rng.random() < 0.4 else [f"<{tag}>", *random_stream(rng, depth + 1), f"</{tag}>"] * rng.choice([1, 1, 2, 3])
+    return out
+
+
+def test_wrapper_matches_its_pages():
+    rng = random.Random(10)
+    for _ in range(300):
+        streams = [html_extraction.folded(random_stream(rng)) for _ in range(rng.randrange(2, 7))]
+        w = streams[0]
+        for s in streams[1:]:
+            w = html_extraction.aligned(w, s)
+        steps = html_extraction.program(w)
+        for s in streams:
+            assert len(html_extraction.places(steps, s)) == list(html_extraction.tokens_of(s)).count("#")
+
+
 # 6
 
 

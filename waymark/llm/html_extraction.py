@@ -5,12 +5,15 @@ one another: where they differ, what one has and the other lacks becomes optiona
 both, and texts stay slots. The result is the host's wrapper. Its slots are then judged once for the host: those below an
 article or main element, or else those that hold the changing, unlinked text; never those below menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments, nor slots that say the same on every page of the host
-outside its article. Applying the wrapper to a page collects the texts of the chosen slots.
+outside its article. Each page's stream is matched against the wrapper (an automaton, its first choice counts), which tells
+the slot of each text; a slot inside a repeat counts anew for each turn of it, so two texts at one tag path are judged apart.
+The texts of the chosen slots are the result. A page that wasn't there when its wrapper was inferred and that doesn't match it
+has slots of its own, by path.
 
 Wrappers are inferred in two rounds (folded streams of a host by a hash, then the partial wrappers), from each distinct folded
 stream once, so a host with a third of all pages sends its few distinct streams to several tasks. Null html is empty: empty
 text. Null urls and urls without host share one wrapper. Repeated rows each get their text. Hosts with one page are judged by
-that page. Pages are parsed whole.
+that page. Pages are parsed whole, once; what was parsed is kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -131,11 +134,20 @@ class Page:
                 return
 
 
-def folded(stream: list) -> tuple:
-    """Groups that follow themselves become one repeat; ('+', group)."""
+def traced(stream: list) -> tuple[tuple, list[list[int]]]:
+    """The folded stream and, for each of its texts, the numbers of the page's texts that fall there."""
     out: list = []
+    at: list[list[list[int]]] = []  # for each node of out, the texts of its leaves
+    n = 0
+
+    def joined(first: list, second: list) -> list:
+        both = [[x for node in side for x in node] for side in (first, second)]
+        return [x + y for x, y in zip(*both, strict=True)]
+
     for token in stream:
         out.append(token)
+        at.append([[n]] if token == "#" else [])
+        n += token == "#"
         changed = True
         while changed:
             changed = False
@@ -143,9 +155,11 @@ def folded(stream: list) -> tuple:
                 tail = out[-k:]
                 before = out[-k - 1] if len(out) > k else None
                 if isinstance(before, tuple) and before[0] == "+" and list(before[1]) == tail:
+                    at[-k - 1 :] = [joined(at[-k - 1 : -k], at[-k:])]
                     del out[-k:]
                     changed = True
                 elif len(out) >= 2 * k and out[-2 * k : -k] == tail and tail != ["#"]:
+                    at[-2 * k :] = [joined(at[-2 * k : -k], at[-k:])]
                     if k == 1 and isinstance(tail[0], tuple) and tail[0][0] == "+":
                         del out[-1:]
                     else:
@@ -153,21 +167,25 @@ def folded(stream: list) -> tuple:
                     changed = True
                 if changed:
                     break
-    return tuple(out)
+    return tuple(out), [x for node in at for x in node]
+
+
+def folded(stream: list) -> tuple:
+    """Groups that follow themselves become one repeat; ('+', group)."""
+    return traced(stream)[0]
 
 
 def with_group(nodes: tuple, group: tuple) -> tuple:
     """Where the nodes have the body of a group of the other wrapper in line, they get the group."""
     body, k, out, i = group[1], len(group[1]), [], 0
+    if group[0] == "?" and all(x == "#" for x in body):
+        return nodes
     while i < len(nodes):
-        if nodes[i : i + k] == body:
-            if not (out and out[-1] == group):
-                out.append(group)
-            i += k
-        else:
-            if not (nodes[i] == group and out and out[-1] == group):
-                out.append(nodes[i])
-            i += 1
+        same = nodes[i : i + k] == body
+        node = group if same else nodes[i]
+        if not (node == group and group[0] == "+" and out and out[-1] == group):
+            out.append(node)
+        i += k if same else 1
     return tuple(out)
 
 
@@ -187,13 +205,12 @@ def aligned(a: tuple, b: tuple) -> tuple:
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out: list = []
-    missing: list = []
+    missing: tuple[list, list] = ([], [])
 
     def settle() -> None:
-        if missing:
-            plain = [y for x in missing for y in (x[1] if isinstance(x, tuple) and x[0] == "?" else (x,))]
-            out.append(("?", tuple(plain)))
-            missing.clear()
+        for side in missing:  # each side on its own, so that a page may have either
+            out.extend(side if all(isinstance(x, tuple) and x[0] == "?" for x in side) else [("?", tuple(side))])
+            side.clear()
 
     i = j = 0
     while i < n or j < m:
@@ -202,36 +219,81 @@ def aligned(a: tuple, b: tuple) -> tuple:
             out.append(a[i])
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            missing.append(a[i])
+            missing[0].append(a[i])
             i += 1
         else:
-            missing.append(b[j])
+            missing[1].append(b[j])
             j += 1
     settle()
     return tuple(out)
 
 
-def slots_of(wrapper: tuple, path: tuple = ()) -> Iterator[str]:
-    """The paths at which a wrapper has slots, in its order."""
-    stack = list(path)
-    for x in wrapper:
-        if isinstance(x, tuple):
-            yield from slots_of(x[1], tuple(stack))
-            for y in x[1]:  # a group may open or close elements for what follows it
-                if isinstance(y, str) and y.startswith("</"):
-                    name = y[2:-1]
-                    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].split(".")[0] == name), None)
-                    if at is not None and sum(isinstance(z, str) and z.startswith(f"<{name}") for z in x[1]) < sum(z == y for z in x[1]):
-                        del stack[at:]
-        elif x == "#":
-            yield "/".join(stack)
-        elif x.startswith("</"):
-            name = x[2:-1]
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].split(".")[0] == name), None)
-            if at is not None:
-                del stack[at:]
+def program(wrapper: tuple) -> list[tuple]:
+    """The wrapper as an automaton: (token, number of its slot) or (None, where to go on, in order of choice)."""
+    out: list = []
+    slots = 0
+
+    def add(nodes: tuple) -> None:
+        nonlocal slots
+        for x in nodes:
+            start = len(out)
+            if isinstance(x, str):
+                out.append((x, slots))
+                slots += x == "#"
+            elif x[0] == "+":
+                add(x[1])
+                out.append((None, (start, len(out) + 1)))
+            else:
+                out.append(())
+                add(x[1])
+                out[start] = (None, (start + 1, len(out)))
+
+    add(wrapper)
+    return out
+
+
+def tokens_of(nodes: tuple) -> Iterator[str]:
+    for x in nodes:
+        if isinstance(x, str):
+            yield x
         else:
-            stack.append(x[1:-1])
+            yield from tokens_of(x[1])
+
+
+def places(steps: list[tuple], stream: tuple) -> list[int] | None:
+    """For each text of a folded stream the slot of the wrapper that it matches; None if the wrapper doesn't match the stream."""
+    end = len(steps)
+
+    def reach(at: int, by: int, into: dict[int, int]) -> None:
+        stack, seen = [at], set()
+        while stack:
+            x = stack.pop()
+            if x in seen or x in into:
+                continue
+            seen.add(x)
+            if x < end and steps[x][0] is None:
+                stack.extend(reversed(steps[x][1]))
+            else:
+                into[x] = by
+
+    now: dict[int, int] = {}
+    reach(0, -1, now)
+    trail = [now]
+    for token in tokens_of(stream):
+        after: dict[int, int] = {}
+        for x in now:
+            if x < end and steps[x][0] == token:
+                reach(x + 1, x, after)
+        now = after
+        trail.append(now)
+    if end not in now:
+        return None
+    out, x = [], end
+    for now in reversed(trail):
+        x = now[x]
+        if x >= 0 and steps[x][0] == "#":
+            out.append(steps[x][1])
+    return out[::-1]
 
 
 def is_dropped(path: str) -> bool:
@@ -250,99 +312,182 @@ def is_main(path: str) -> bool:
     return any(e.split(".")[0] in MAIN or ".role:main" in e for e in path.split("/"))
 
 
-def chosen(wrapper: tuple, stats: pd.DataFrame) -> list[str]:
-    """The slots of a wrapper that hold the article. stats: path, pages, chars, linked, changing."""
-    open_to = [p for p in dict.fromkeys([*slots_of(wrapper), *stats["path"]]) if not is_dropped(p)]
-    if main := [p for p in open_to if is_main(p)]:
-        return main
-    known = stats.set_index("path")
-    good = [p for p in open_to if p not in known.index or 2 * known.loc[p, "linked"] <= known.loc[p, "chars"] and (known.loc[p, "changing"] or known.loc[p, "pages"] <= 2)]
-    return good
+def slots_of(places_: list[int] | None, leaves: list[int], paths: list[str]) -> list[str]:
+    """The slot of each text of a page: its number in the wrapper, which of the page's groups there it is in, its turn in the
+    repeat, and the path. Without a match the path alone."""
+    if places_ is None:
+        return [f"* {p}" for p in paths]
+    ranks: list[int] = []
+    count: dict[int, int] = {}
+    for x in places_:
+        ranks.append(count.get(x, 0))
+        count[x] = ranks[-1] + 1
+    turn: dict[int, int] = {}
+    out = []
+    for leaf, path in zip(leaves, paths, strict=True):
+        turn[leaf] = turn.get(leaf, -1) + 1
+        out.append(f"{places_[leaf]}.{ranks[leaf]}.{turn[leaf]} {path}")
+    return out
+
+
+class Matcher:
+    """Slots of pages under wrappers, both as text; what was matched before is kept."""
+
+    def __init__(self) -> None:
+        self.programs: dict[str, list[tuple]] = {}
+        self.known: dict[tuple[str, str], list[int] | None] = {}
+
+    def __call__(self, wrapper: str | None, stream: str, leaves: list[int], paths: list[str]) -> list[str]:
+        if wrapper is None:
+            return slots_of(None, leaves, paths)
+        if len(self.known) > MOST_HELD:
+            self.known.clear()
+            self.programs.clear()
+        if (wrapper, stream) not in self.known:
+            if wrapper not in self.programs:
+                self.programs[wrapper] = program(ast.literal_eval(wrapper))
+            self.known[wrapper, stream] = places(self.programs[wrapper], ast.literal_eval(stream))
+        return slots_of(self.known[wrapper, stream], leaves, paths)
+
+
+def chosen(stats: pd.DataFrame) -> list[str]:
+    """The slots of a wrapper that hold the article. stats: slot, pages, chars, linked, changing."""
+    stats = stats.assign(path=stats["slot"].str.split(" ", n=1).str[1])
+    verdict = {p: (not is_dropped(p), is_main(p)) for p in stats["path"].unique()}
+    stats = stats[[verdict[p][0] for p in stats["path"]]]
+    main = [verdict[p][1] for p in stats["path"]]
+    if any(main):
+        return sorted(stats.loc[main, "slot"])
+    good = (2 * stats["linked"] <= stats["chars"]) & (stats["changing"] | (stats["pages"] <= 2))
+    return sorted(stats.loc[good, "slot"])
+
+
+PARSED = "page_id long, url string, host string, stream string, leaves array<int>, paths array<string>, texts array<string>, linked array<boolean>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages: page_id, url, html. The folded stream of each page, and its texts: leaf of the stream, path, text, linked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple[str, list[int]]] = {}
+        for batch in batches:
+            streams, leaves, paths, texts, linked = [], [], [], [], []
+            for source in batch.column(3):
+                page = Page(source.as_py() or "")
+                key = tuple(page.stream)
+                if key not in known:
+                    if len(known) > 2_000:
+                        known.clear()
+                    nodes, at = traced(page.stream)
+                    leaf = {n: k for k, numbers in enumerate(at) for n in numbers}
+                    known[key] = repr(nodes), [leaf[n] for n in range(len(page.blocks))]
+                stream, of = known[key]
+                streams.append(stream)
+                leaves.append(of)
+                paths.append([p for p, _, _ in page.blocks])
+                texts.append([t for _, t, _ in page.blocks])
+                linked.append([x for _, _, x in page.blocks])
+            strings = pa.list_(pa.string())
+            columns = [*batch.columns[:3], pa.array(streams, pa.string()), pa.array(leaves, pa.list_(pa.int32())), pa.array(paths, strings), pa.array(texts, strings), pa.array(linked, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PARSED.split(", ")])
+
+    return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(rows, PARSED)
+
+
+def inferred(p: DataFrame) -> DataFrame:
+    """host, wrapper string. p as from parsed()."""
+
+    def merged(streams: pd.Series) -> str:
+        w: tuple | None = None
+        for key in sorted(streams):
+            s = ast.literal_eval(key)
+            w = s if w is None else aligned(w, s)
+        return repr(w)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "stream": [merged(pdf["stream"])]})
+
+    salted = p.select("host", "stream").distinct().withColumn("_salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
+    rounds = salted.groupBy("host", "_salt").applyInPandas(one, "host string, stream string")
+    return rounds.groupBy("host").applyInPandas(one, "host string, stream string").withColumnRenamed("stream", "wrapper")
+
+
+def with_hosts(p: DataFrame, by_host: DataFrame) -> DataFrame:
+    return p.join(F.broadcast(by_host) if small_enough(by_host, BROADCAST_HOSTS) else by_host, "host", "left")
 
 
-def observed(pages: DataFrame) -> DataFrame:
-    """host, kind ('stream' or 'slot'), key, pages, chars, linked, lo, hi: what each task saw, for the host's sums."""
-    names = ["host", "kind", "key", "pages", "chars", "linked", "lo", "hi"]
+def observed(p: DataFrame, by_host: DataFrame) -> DataFrame:
+    """host, slot, pages, chars, linked, lo, hi: what each task saw, for the host's sums."""
+    names = ["host", "slot", "pages", "chars", "linked", "lo", "hi"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, str], list] = {}
+        held: dict[tuple[str, str], list] = {}
+        match = Matcher()
 
         def out() -> pa.RecordBatch:
-            columns = [list(x) for x in zip(*[(*k, *v) for k, v in held.items()], strict=True)] or [[]] * 8
+            columns = [list(x) for x in zip(*[(*k, *v) for k, v in held.items()], strict=True)] or [[]] * 7
             held.clear()
-            kinds = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.string()] * 2
+            kinds = [pa.string()] * 2 + [pa.int64()] * 3 + [pa.string()] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                page = Page(source.as_py() or "")
-                held.setdefault((host, "stream", repr(folded(page.stream))), [0, 0, 0, "", ""])[0] += 1
-                by: dict[str, list] = {}
-                for path, text, linked in page.blocks:
-                    x = by.setdefault(path, [0, 0, []])
-                    x[0] += len(text)
-                    x[1] += len(text) * linked
-                    x[2].append(text)
-                for path, (chars, linked, texts) in by.items():
-                    digest = hashlib.md5("\n".join(texts).encode("utf-8", "replace")).hexdigest()
-                    x = held.setdefault((host, "slot", path), [0, 0, 0, digest, digest])
-                    x[:] = [x[0] + 1, x[1] + chars, x[2] + linked, min(x[3], digest), max(x[4], digest)]
+            for host, wrapper, stream, leaves, paths, texts, linked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for slot, text, link in zip(match(wrapper, stream, leaves, paths), texts, linked, strict=True):
+                    digest = hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+                    x = held.setdefault((host, slot), [0, 0, 0, digest, digest])
+                    x[:] = [x[0] + 1, x[1] + len(text), x[2] + len(text) * link, min(x[3], digest), max(x[4], digest)]
                 if len(held) >= MOST_HELD:
                     yield out()
         yield out()
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(rows, "host string, kind string, key string, pages long, chars long, linked long, lo string, hi string")
+    seen = with_hosts(p, by_host).select("host", "wrapper", "stream", "leaves", "paths", "texts", "linked")
+    seen = seen.mapInArrow(rows, "host string, slot string, pages long, chars long, linked long, lo string, hi string")
     sums = [F.sum(c).alias(c) for c in ("pages", "chars", "linked")]
-    return seen.groupBy("host", "kind", "key").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return seen.groupBy("host", "slot").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper string, slots array<string>."""
-    seen = observed(pages)
+def judged(p: DataFrame) -> DataFrame:
+    """host, wrapper string, slots array<string>. p as from parsed()."""
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        w: tuple | None = None
-        for key in sorted(pdf.loc[pdf["kind"] == "stream", "key"]):
-            s = ast.literal_eval(key)
-            w = s if w is None else aligned(w, s)
-        rest = pdf[pdf["kind"] == "slot"][["host", "kind", "key", "pages", "chars", "linked", "lo", "hi"]]
-        head = pd.DataFrame({"host": [pdf["host"].iloc[0]], "kind": ["stream"], "key": [repr(w)], "pages": [0], "chars": [0], "linked": [0], "lo": [""], "hi": [""]}) if w is not None else rest[:0]
-        return pd.concat([head, rest])
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": [chosen(pdf.assign(changing=pdf["lo"] != pdf["hi"]))]})
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        w: tuple = ()
-        for key in sorted(pdf.loc[pdf["kind"] == "stream", "key"]):
-            w = aligned(w, ast.literal_eval(key)) if w else ast.literal_eval(key)
-        slots = pdf[pdf["kind"] == "slot"].rename(columns={"key": "path"})
-        slots = slots.assign(changing=slots["lo"] != slots["hi"])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [repr(w)], "slots": [chosen(w, slots)]})
+    found = shared_table(inferred(p), "wrappers")
+    slots = observed(p, found).groupBy("host").applyInPandas(judge, "host string, slots array<string>")
+    return found.join(slots, "host", "left")
 
-    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    rounds = salted.groupBy("host", "_salt").applyInPandas(partial, "host string, kind string, key string, pages long, chars long, linked long, lo string, hi string")
-    return rounds.groupBy("host").applyInPandas(whole, "host string, wrapper string, slots array<string>")
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper string, slots array<string>."""
+    return judged(parsed(pages))
 
-def extract(pages: DataFrame, by_host: DataFrame) -> DataFrame:
-    """pages: page_id, url, html; by_host as from wrappers(). page_id, url, text, n_chars."""
-    slots = by_host.select("host", "slots")
-    p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    p = p.join(F.broadcast(slots) if small_enough(slots, BROADCAST_HOSTS) else slots, "host", "left")
+
+def applied(p: DataFrame, by_host: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars. p as from parsed()."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
+        match = Matcher()
+        sets: dict[str, frozenset] = {}
         for batch in batches:
-            texts = []
-            for source, slots in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                key = tuple(slots or ())
-                if len(sets) > 10_000:
-                    sets.clear()
-                open_to = sets.setdefault(key, frozenset(key))
-                texts.append("\n".join(t for path, t, _ in Page(source.as_py() or "").blocks if path in open_to))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            out = []
+            for wrapper, slots, stream, leaves, paths, texts in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                if slots not in sets:
+                    if len(sets) > 1_000:
+                        sets.clear()
+                    sets[slots] = frozenset((slots or "").split("\n"))
+                open_to = sets[slots]
+                out.append("\n".join(t for slot, t in zip(match(wrapper, stream, leaves, paths), texts, strict=True) if slot in open_to))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    flat = by_host.select("host", "wrapper", F.array_join("slots", "\n").alias("slots"))
+    return with_hosts(p, flat).select("page_id", "url", "wrapper", "slots", "stream", "leaves", "paths", "texts").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+
 
-    return p.select("page_id", "url", "html", "slots").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+def extract(pages: DataFrame, by_host: DataFrame) -> DataFrame:
+    """pages: page_id, url, html; by_host as from wrappers(). page_id, url, text, n_chars."""
+    return applied(parsed(pages), by_host)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return extract(pages, shared_table(wrappers(pages), "wrappers"))
+    p = shared_table(parsed(spark.read.parquet(f"{sf_dir}/pages.parquet")), "pages")
+    return applied(p, shared_table(judged(p), "slots"))
