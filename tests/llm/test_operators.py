@@ -1,11 +1,13 @@
 """Edge cases and brute-force comparisons of the training-data operators, on small tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -96,6 +98,41 @@ def test_compressed_and_cycles():
     assert secret_scan.scan("ſecret=abcdefghijklmnop")[0] == []
 
 
+B64 = lambda raw: base64.b64encode(raw).decode()
+QUOTED = lambda raw: "".join(f"%{x:02X}" for x in raw)
+GZ = gzip.compress(SECRET.encode())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        B64(gzip.compress(GZ)),
+        B64(gzip.compress(bz2.compress(zlib.compress(SECRET.encode())))),
+        QUOTED(GZ),
+        urllib.parse.quote(gzip.compress(("é ÿ " + SECRET).encode())),
+        "".join(f"\\x{x:02x}" for x in GZ),
+        *[f"GET /{p}/{B64(SECRET.encode())} HTTP" for p in ("v", "v1", "v1a", "v1ab", "a_b-c")],
+        *[f"auth{p}-{B64(SECRET.encode())}" for p in ("", "x", "xy", "xyz")],
+        "/v1/" + B64(GZ),
+        *[B64(f"{c}{SECRET}{c}".encode()) for c in "\u00a0\ufeff\0"],
+        B64(gzip.compress(b"token = 'abcdefg") + gzip.compress(b"hijklmnop'")),
+        B64(gzip.compress(b"") + GZ),
+    ],
+)
+def test_nested_layers(text):
+    assert secret_scan.scan(text)[0] == [] and 0 in {k for _, k, _ in secret_scan.scan(text)[1]}
+
+
+def test_same_run_twice_and_large_streams(monkeypatch):
+    run = "v1/" + B64(SECRET.encode())
+    assert len({s for s, k, _ in secret_scan.scan(f"{run} and {run}")[1] if k == 0}) == 2
+    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 300_000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1000)
+    for at in (0, 299_990, 300_000, 900_000):
+        packed = B64(gzip.compress(b"-" * at + SECRET.encode() + b"-" * 100_000))
+        assert [k for _, k, _ in secret_scan.scan("x " + packed)[1]] == [0]
+
+
 def test_secret_rows(spark, odd):
     got = rows(secret_scan.scan_secrets(odd))
     assert len(got) == 9 and all(r[4] == hashlib.sha256(b"").hexdigest() for r in got)
