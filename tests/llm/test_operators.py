@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import urllib.parse
@@ -337,6 +338,37 @@ def test_leaks(spark, odd):
     assert decontamination.leaks(odd, b.limit(0)).count() == 0 and decontamination.leaks(odd.limit(0), b).count() == 0
 
 
+def test_masks_hit_every_pattern():
+    for run in range(1, decontamination.MIN_WORDS + 1):
+        wrong = max(k for k in range(run + 1) if 100 * (run - k) >= decontamination.MIN_SAME * run)
+        assert wrong == decontamination.most_wrong(run)
+        hits = [{at + i for i, c in enumerate(m) if c == "1"} for m in decontamination.masks_of(run) for at in range(run - len(m) + 1)]
+        assert all(m[0] == m[-1] == "1" for m in decontamination.masks_of(run))
+        assert all(any(not h & set(p) for h in hits) for p in itertools.combinations(range(run), wrong))
+    assert decontamination.masks_of(20, 50) == ("1",) and decontamination.masks_of(9, 100) == decontamination.MASKS[9]
+
+
+def test_leaks_brute_force(spark):
+    rng = random.Random(12)
+    items = {i: some_words(rng, 1 + i % 20, 60).split() for i in range(60)}
+    texts = {}
+    for d in range(200):
+        w = list(rng.choice(list(items.values())))
+        for k in rng.sample(range(len(w)), min(len(w), rng.randrange(4))):
+            w[k] = f"x{rng.randrange(99)}"
+        texts[d] = some_words(rng, rng.randrange(20), 60).split() + w[: rng.choice([len(w), len(w) - 1, len(w)])] + some_words(rng, rng.randrange(20), 60).split()
+    expected = {}
+    for (d, t), (i, w) in itertools.product(texts.items(), items.items()):
+        run = min(len(w), decontamination.MIN_WORDS)
+        for shift in range(-len(w) + 1, len(t)):
+            same = [0 <= shift + k < len(t) and t[shift + k] == x for k, x in enumerate(w)]
+            if max(sum(same[k : k + run]) for k in range(len(w) - run + 1)) * 100 >= decontamination.MIN_SAME * run:
+                expected[d, i] = max(expected.get((d, i), 0), sum(same))
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = [((r["doc_id"], r["item_id"]), r["n_same"]) for r in decontamination.leaks(docs(spark, [(d, " ".join(t), "s") for d, t in texts.items()]), b).collect()]
+    assert sorted(got) == sorted(expected.items())
+
+
 # 9
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

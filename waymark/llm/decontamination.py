@@ -4,7 +4,10 @@ Texts are lower-cased and stripped of punctuation, then cut at white space. Ever
 every mask; a bitmap of the benchmark's hashes, fixed in size, drops nearly all of them inside the row, and an equi-join finds
 the rest. Around each hit the item is laid along the document and compared word by word, substitutions allowed.
 
-Null and blank texts and items match nothing. Items with fewer words than the shortest mask are matched whole, by their own
+The masks follow the length of the item: each set is proven by enumeration (in the tests) to have a mask that misses every set
+of substituted words that still makes a leak, so no leak is without a hit. Only the sets of lengths that occur are hashed.
+
+Null and blank texts and items match nothing. Items so short that all their words must agree are matched whole, by their own
 hash. Repeated documents and items each count for themselves. An empty benchmark returns no rows. Only hits carry on, so
 documents that share no passage with the benchmark never leave their task.
 """
@@ -16,8 +19,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, join_sized, shared_table
 
-#: The masks; 1 takes a word into the hash, 0 ignores it.
-MASKS = ("11011011", "1110100111")
+#: The masks by the words in line that must agree (MIN_WORDS or a shorter item); 1 takes a word into the hash, 0 ignores it.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "101100111", "111111"),
+    13: ("11101011", "11001111"),
+}
 #: A leak is `MIN_WORDS` words in line (or the whole item, if shorter) of which at least `MIN_SAME` percent agree.
 MIN_WORDS, MIN_SAME = 13, 80
 BITS = 20
@@ -35,7 +48,21 @@ def seed_at(hashes: str, number: int, taken: list[int]):
     return lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + j) for j in taken])
 
 
-def windows(hashes: str, masks=MASKS) -> list[Column]:
+def most_wrong(run: int, min_same: int = MIN_SAME) -> int:
+    """How many words of a run may differ."""
+    return run * (100 - min_same) // 100
+
+
+def masks_of(run: int, min_same: int = MIN_SAME, masks=MASKS) -> tuple[str, ...]:
+    """Masks that hit every leak of so many words in line: the given ones as far as they are proven, else one row of words that
+    the words that differ can't all touch."""
+    wrong = most_wrong(run, min_same)
+    if run in masks and wrong <= most_wrong(run):
+        return masks[run]
+    return ("1" * -(-(run - wrong) // (wrong + 1)),)
+
+
+def windows(hashes: str, masks) -> list[Column]:
     """For each mask an array of the hashes of all windows, by position."""
     n, out = F.size(hashes), []
     for number, mask in enumerate(masks):
@@ -67,22 +94,26 @@ def bitmap(seeds: DataFrame, bits: int = BITS) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_words: int = MIN_WORDS, min_same: int = MIN_SAME) -> DataFrame:
     """(doc_id, item_id, n_same, n_items_words): every document and item that share a passage, with the most words that agree
     along one alignment. docs: doc_id, text; benchmark: item_id, text."""
-    spark = docs.sparkSession
-    shortest = min(map(len, masks))
-    items = hashed(benchmark.select("item_id", "text"), "item_id", "text").where(F.size("w") > 0)
-    names = [f"m{i}" for i in range(len(masks))]
-    seeds = items.select("item_id", *windows("wh", masks)).select("item_id", F.explode(F.concat(*map(placed, names))).alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h"))
+    items = hashed(benchmark.select("item_id", "text"), "item_id", "text").where(F.size("w") > 0).withColumn("run", F.least(F.size("w"), F.lit(min_words)))
+    runs = sorted(r["run"] for r in items.select("run").distinct().collect())  # min_words rows at most
+    whole_only = [r for r in runs if r < min_words and not most_wrong(r, min_same)]
+    sets = {r: masks_of(r, min_same, masks) for r in runs if r not in whole_only}
+    used = sorted({m for x in sets.values() for m in x})
+    names = [f"m{i}" for i in range(len(used))]
+    none = F.lit(None).cast("array<bigint>")
+    own = [F.when(F.col("run").isin([r for r in sets if m in sets[r]]), w).otherwise(none).alias(name) for m, name, w in zip(used, names, windows("wh", used), strict=True)]
+    seeds = items.select("item_id", *own).select("item_id", F.explode(F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *map(placed, names))).alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h"))
     # the bitmap is a column so that each row's array functions can read it; its size is fixed
-    d = hashed(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", "text").select("doc_id", *windows("wh", masks), bitmap(seeds).scalar().alias("bits"))
+    d = hashed(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", "text").select("doc_id", *windows("wh", used), bitmap(seeds).scalar().alias("bits"))
     cell = lambda h: F.pmod(h, F.lit(1 << BITS))
     known = lambda h: F.get("bits", F.shiftright(cell(h), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), cell(h).bitwiseAND(F.lit(63)).cast("int"))) != 0
-    found = d.select("doc_id", F.explode(F.concat(*[placed(m, known) for m in names])).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
+    found = d.select("doc_id", F.explode(F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *[placed(m, known) for m in names])).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
     hits = shared_table(found.join(seeds, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
-    short = items.where(F.size("w") < shortest).select("item_id", F.array_join("w", " ").alias("phrase"))
-    checked = verified(docs, items, hits, min_words, min_same)
-    if not short.isEmpty():
+    checked = verified(docs, items.drop("run"), hits, min_words, min_same)
+    if whole_only:
+        short = items.where(F.col("run").isin(whole_only)).select("item_id", F.array_join("w", " ").alias("phrase"))
         whole = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(norm_words(F.col("text")), " "), F.lit(" ")).alias("t"))
-        grams = whole.select("doc_id", "t").withColumn("g", F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(shortest - 1)), lambda k: ngrams(F.split(F.btrim("t"), " "), k)))))
+        grams = whole.select("doc_id", "t").withColumn("g", F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, whole_only)), lambda k: ngrams(F.split(F.btrim("t"), " "), k)))))
         exact = grams.select("doc_id", F.explode("g").alias("phrase")).join(short, "phrase").select("doc_id", "item_id", F.size(F.split("phrase", " ")).cast("long").alias("n_same"), F.size(F.split("phrase", " ")).cast("long").alias("n_item_words")).distinct()
         checked = checked.unionByName(exact)
     return checked
