@@ -33,3 +33,16 @@ def test_stages(spark):
     assert {r["doc_id"] for r in mix} <= set(clean_of_benchmark) and all(1 <= r["copies"] <= 3 for r in mix)
     total = sum(len(t.split()) for t in clean_of_benchmark.values())
     assert abs(sum(r["taken"] for r in mix) - total) < 0.1 * total
+
+
+def test_stage_keeps_nameless(spark):
+    """Rows of null doc_id stay if no document with an id resembles them, one of each group."""
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"w{rng.randrange(50_000)}" for _ in range(80)) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    table = [(1, a), (None, a), (None, near(a)), (None, b), (None, c), (None, c), (None, near(c))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.ngram_join(spark, d, "")
+    assert out.columns == d.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == 3 and (1, a) in got and (None, b) in got and {t for _, t in got} - {a, b} <= {c, near(c)}

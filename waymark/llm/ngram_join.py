@@ -462,9 +462,16 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, with the columns they came with."""
-    kept = components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that name their component, with the columns they came with. Rows of null doc_id take part under ids of their
+    own above all others, so of a component one such row stays if no document in it has an id."""
+    named = docs.where("doc_id is not null").withColumn("_own_id", F.col("doc_id"))
+    nameless = docs.where("doc_id is null")
+    if not nameless.isEmpty():
+        above = F.lit(docs.agg(F.max("doc_id")).first()[0] or 0).cast("long") + 1
+        named = named.unionByName(shared_table(nameless.withColumn("_own_id", above + F.monotonically_increasing_id()), "nameless"))
+    own = components(named.select(F.col("_own_id").alias("doc_id"), "text"))
+    kept = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_own_id")).distinct()
+    return named.join(kept, "_own_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
