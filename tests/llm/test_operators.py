@@ -197,9 +197,13 @@ def test_banded_distance():
             assert line_dedup.within(a, b, e) == line_dedup.close(a, b, e) == (levenshtein(a, b) <= e)
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_line_dedup_brute_force(spark, monkeypatch, block):
+    """Lines of all lengths, short ones too; small blocks send most keys through a second segment and pairs of blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(2)
-    bases = ["".join(rng.choice("abcdé xyz") for _ in range(rng.randrange(30, 60))).strip() for _ in range(12)]
+    bases = ["".join(rng.choice("abcdé xyz") for _ in range(rng.choice((6, 9, 11, 15, 19, 21, 23, 30, 45, 60)))).strip() for _ in range(16)]
+    bases += ["Click here to subscribe", "Click here to subscribed", "Click here to subscrib", "All rights reserved"]
     d = [(i, "\n".join(edited(rng, rng.choice(bases), rng.randrange(4)).strip() for _ in range(4)), "s") for i in range(60)]
     lines = [(i, k, x.strip()) for i, t, _ in d for k, x in enumerate(t.split("\n")) if x.strip()]
     distinct = sorted({x for *_, x in lines})
@@ -212,7 +216,7 @@ def test_line_dedup_brute_force(spark):
 
     for a in distinct:
         for b in distinct:
-            if a < b and min(len(a), len(b)) >= line_dedup.LEAST_CHARS and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2:
+            if a < b and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= min(2, min(len(a), len(b)) // 10):
                 root[find(a)] = find(b)
     first = {}
     for i, k, x in lines:
@@ -223,6 +227,8 @@ def test_line_dedup_brute_force(spark):
 
 
 def test_line_dedup_keeps_columns(spark, odd):
+    named = docs(spark, [(1, "the very same line\nmore", "a"), (2, "the very same line", "a")]).withColumnsRenamed({"n": "gone", "sig": "_gone", "h": "_rest", "q": "gone_lines"})
+    assert [(r["doc_id"], r["text"], r["gone"], r["_rest"]) for r in line_dedup.without_repeats(named).collect()] == [(1, "the very same line\nmore", 7, "h")]
     out = line_dedup.without_repeats(odd)
     assert out.columns == odd.columns
     assert out.where("doc_id = 5").count() == 0 and out.where("doc_id = 4").count() == 2 and out.where("doc_id is null").count() == 2

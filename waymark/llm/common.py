@@ -44,6 +44,14 @@ def remove_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that no table's column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; empty for null and for blank texts."""
     blanks = " " * (len(SPACES) - 1)

@@ -1,15 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
 Lines are the \\n-split parts of a text, trimmed of white space; those without a word are left alone. Equal lines are one (by a
-64-bit hash). Of the distinct lines of at least LEAST_CHARS characters, those within EDITS edits of each other are found by
-cutting a line into EDITS + 1 segments: edits can't touch them all, so one segment occurs in the other line, near its place.
-Segments are indexed under (length of the line, number of the segment, hash); a line probes the indexes of all lengths up to
-EDITS shorter than its own with the substrings that multi-match-aware selection leaves. Lines that meet are verified with a
-banded bit-parallel edit distance. Linked lines form classes; the first line of a class, by document and line number, stays.
-
-Rolling hashes give every substring's hash by one subtraction, over whole Arrow batches. Lines that meet under one key in large
-numbers are dealt out in pairs of blocks. Null texts have no lines. Rows of null doc_id take no part. Rows that repeat a doc_id are
-taken for the same document. Shorter lines are only compared for equality. An empty table gives no rows.
+64-bit hash). Two distinct lines are linked within e edits, e being one for every CHARS_PER_EDIT characters of the shorter line
+and EDITS at most (so lines below CHARS_PER_EDIT characters are linked when equal only: one edit makes another list number of
+them). They are found by cutting the shorter line into e + 1 segments: edits can't touch them all, so one segment occurs in the
+other line, near its place. Segments are indexed under (length of the line, number of the segment, hash); a line probes the
+indexes of all lengths up to EDITS shorter than its own with the substrings that multi-match-aware selection leaves. Lines that
+meet are verified with a banded bit-parallel edit distance. Linked lines form classes; the first line of a class, by document
+and line number, stays.
+
+Rolling hashes give every substring's hash by one subtraction, over whole Arrow batches. A key under which more than BLOCK lines
+meet is split by a second segment: what is left of two linked lines without the segment they share is within e edits too, so it
+shares a segment again; what still meets in large numbers is dealt out in pairs of blocks. Null texts have no lines. Rows of null
+doc_id take no part. Rows that repeat a doc_id are taken for the same document. Very long texts and lines are taken whole. An
+empty table gives no rows; columns of any other name are carried along.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, connected_components, join_sized, shared_table
+from .common import SPACES, connected_components, join_sized, shared_table, unused
 
-EDITS, LEAST_CHARS = 2, 24
+EDITS, CHARS_PER_EDIT = 2, 10
 BLOCK = 256
 BROADCAST_ROWS = 2_000_000
 P = 0x9E3779B97F4A7C15
@@ -53,33 +57,39 @@ class Rolling:
         return (self.sums[start + n] - self.sums[start]) * self.back[start]
 
 
-def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of segment i of 0..edits: sizes differ by one at most, the longer ones last."""
-    parts = edits + 1
+def allowed(length, edits: int = EDITS, per_edit: int = CHARS_PER_EDIT):
+    """How many edits a line of such a length may be from a longer one."""
+    return np.minimum(edits, length // per_edit)
+
+
+def segment(length: np.ndarray, i: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of segment i of `parts`: sizes differ by one at most, the longer ones last."""
     size, extra = length // parts, length % parts
     longer = np.maximum(0, i - (parts - extra))
     return i * size + longer, size + (i >= parts - extra)
 
 
-def keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(number of the line, key, role) in arrays; role 3: in the index and probing, 2: probing only."""
+def keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS, allow=allowed) -> Iterator[tuple[np.ndarray, ...]]:
+    """(number of the line, key, role, where the substring begins, its size) in arrays; role 3: in the index and probing, 2:
+    probing only."""
     rolling, every = Rolling(codes), np.arange(len(start))
     for shorter in range(edits + 1):
         l = length - shorter
+        e = allow(np.maximum(l, 0), edits)
         for i in range(edits + 1):
-            p, q = segment(l, i, edits)
-            low = np.maximum(p - i, p + shorter - (edits - i))
-            high = np.minimum(p + i, p + shorter + (edits - i))
+            p, q = segment(l, i, e + 1)
+            low = np.maximum(p - i, p + shorter - (e - i))
+            high = np.minimum(p + i, p + shorter + (e - i))
             for step in range(2 * edits + 1):
                 at = low + step
-                ok = np.flatnonzero((at <= high) & (at >= 0) & (at + q <= length) & (q > 0))
+                ok = np.flatnonzero((e >= np.maximum(shorter, max(i, 1))) & (at <= high) & (at >= 0) & (at + q <= length) & (q > 0))
                 if not len(ok):
                     continue
                 own = (shorter == 0) & (at[ok] == p[ok])
                 key = mixed(rolling(start[ok] + at[ok], q[ok]) + mixed((l[ok] * (edits + 1) + i).astype(np.uint64)))
                 for role, pick in ((3, own), (2, ~own)):
                     if pick.any():
-                        yield every[ok[pick]], key[pick], role
+                        yield every[ok[pick]], key[pick], role, at[ok[pick]], q[ok[pick]]
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -162,7 +172,7 @@ def meetings(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                     length = np.array([len(t) for t in texts])
                     start, h_of = np.cumsum(length) - length, np.array(hs, dtype=np.int64)
-                    for who, key, role in keys(codes, start, length, edits):
+                    for who, key, role, _, _ in keys(codes, start, length, edits):
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h_of[who]), pa.array(np.full(len(who), role, dtype=np.int8))], ["key", "h", "role"])
                     hs, texts, size = [], [], 0
 
@@ -172,14 +182,51 @@ def meetings(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return met.where("lo < hi and any = 3").select("key", "h", "role").distinct()
 
 
+def split(crowded: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, h, role) of lines that share a second segment beside their first. crowded: key, h, role, line.
+
+    A line goes without the substring it has under its key; what is left is cut anew. A remainder is as long as its line less the
+    same segment, so the number of edits still follows from the shorter line's length."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, hs, roles, lines = (batch.column(k).to_pylist() for k in range(4))
+            for r in range(batch.num_rows):
+                codes = np.frombuffer(lines[r].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                whole, found = len(codes), []
+                for _, key, role, at, q in keys(codes, np.zeros(1, np.int64), np.array([whole]), edits):
+                    if role >= roles[r] and int(key.view(np.int64)[0]) == first[r]:
+                        found.append((int(at[0]), int(q[0]), role))
+                out: list[tuple[int, int]] = []
+                for at, q, role in found:
+                    rest = np.concatenate([codes[:at], codes[at + q :]])
+                    if not len(rest):
+                        out.append((first[r], role))
+                        continue
+                    # lengths that may meet here are those of the whole lines, whatever was cut out of both
+                    allow = lambda l, most, q=q: allowed(l + q, most)
+                    for _, key, again, _, _ in keys(rest, np.zeros(1, np.int64), np.array([len(rest)]), edits, allow):
+                        out.append((int(mixed(key + np.uint64(first[r] & (2**64 - 1))).view(np.int64)[0]), min(role, again)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([hs[r]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.int8())], ["key", "h", "role"])
+
+    return crowded.select("key", "h", "role", "line").mapInArrow(rows, "key long, h long, role byte")
+
+
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b) hashes of lines within `edits` of each other, enough of them to span every class. lines: h, line, long enough."""
+    """(a, b) hashes of lines within `edits` of each other, enough of them to span every class. lines: h, line."""
     met = shared_table(meetings(lines, edits), "lines-met")
     sizes = met.groupBy("key").agg(F.count("*").alias("g"))
-    blocks = met.join(sizes, "key").withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
+    texts = join_sized(lines.select("h", "line"), met.select("h").distinct(), "h", "left_semi", BROADCAST_ROWS).groupBy("h").agg(F.first("line").alias("line"))
+    few = met.join(sizes.where(F.col("g") <= BLOCK).select("key"), "key")
+    large = sizes.where(F.col("g") > BLOCK).select("key")
+    if not large.isEmpty():
+        again = split(met.join(large, "key").join(texts, "h"), edits).groupBy("key", "h").agg(F.max("role").alias("role"))
+        few = few.unionByName(shared_table(again, "lines-split"))
+        sizes = few.groupBy("key").agg(F.count("*").alias("g"))
+    blocks = few.join(sizes.where("g > 1"), "key").withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
     blocks = blocks.select("key", "h", "role", F.explode(pair).alias("p")).select("key", "h", "role", "p.i", "p.j")
-    texts = join_sized(lines.select("h", "line"), met.select("h").distinct(), "h", "left_semi", BROADCAST_ROWS).groupBy("h").agg(F.first("line").alias("line"))
     rows = blocks.join(texts, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +241,10 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                     i = root[i]
                 return i
 
-            for i, (h, role, line) in enumerate(group):
+            for i, (h, role, line, n) in enumerate(group):
                 for j in range(i):
-                    if (role == 3 or group[j][1] == 3) and abs(len(line) - len(group[j][2])) <= edits and find(i) != find(j) and close(line, group[j][2], edits):
+                    _, role2, line2, n2 = group[j]
+                    if (role == 3 or role2 == 3) and abs(n - n2) <= edits and find(i) != find(j) and close(line, line2, int(allowed(min(n, n2), edits))):
                         root[find(i)] = find(j)
                         out.append((h, group[j][0]))
 
@@ -208,7 +256,7 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                 if key != now:
                     settle()
                     now, group = key, []
-                group.append((h, role, line))
+                group.append((h, role, line, len(line)))
             if len(out) > 5000:
                 yield batch_of()
                 out.clear()
@@ -218,10 +266,10 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return rows.select("key", "i", "j", "h", "role", "line").mapInArrow(joined, "a long, b long")
 
 
-def repeats(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, line_no, h, first_h, first_doc, first_line: every line that repeats an earlier line of its class."""
     lines = occurrences(docs)
-    found = links(lines.where(F.length("line") >= least_chars), edits)
+    found = links(lines.where(F.length("line") >= CHARS_PER_EDIT), edits)
     cc = connected_components(found)
     narrow = lines.select("doc_id", "line_no", "h")
     by_line = shared_table(narrow.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "h")).alias("first"), F.count("*").alias("n")), "lines")
@@ -239,15 +287,19 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Texts without the lines that repeat earlier ones; documents of which nothing is left go. All columns stay; n_chars, where
-    there is one, follows the text."""
-    gone = removals(docs).select("doc_id", F.transform("removed", lambda x: x["line_no"]).alias("_gone"))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, "doc_id", "left").withColumn("_rest", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
-    out = out.where(F.col("_gone").isNull() | (F.btrim("_rest", F.lit(SPACES + "\n")) != "")).withColumn("text", F.col("_rest"))
+    """Texts without the lines that repeat earlier ones; documents of which nothing is left go. All columns stay, whatever their
+    names; n_chars, where there is one, follows the text."""
+    own = unused("gone", docs.columns)
+    gone = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias(own), F.transform("removed", lambda x: x["line_no"]).alias(f"{own}_lines"))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(f"{own}_lines", i))
+    rest = F.array_join(left, "\n")
+    out = docs.join(gone, docs["doc_id"] == gone[own], "left")
+    touched = F.col(own).isNotNull()
+    out = out.where(~touched | F.exists(left, lambda line: F.btrim(line, F.lit(SPACES)) != ""))
+    put = {"text": F.when(touched, rest).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        put["n_chars"] = F.when(touched, F.length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
