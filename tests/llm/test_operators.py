@@ -10,6 +10,8 @@ import re
 import urllib.parse
 import zlib
 
+import duckdb
+import numpy as np
 import pytest
 
 from waymark.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
@@ -166,6 +168,50 @@ def test_mix_caps(spark):
     assert t == {10: 30.0, 1000: 980.0}
 
 
+def test_mix_dual(spark):
+    """Newton's end point: every source on target, the stated optimum held against a plain descent on all multipliers."""
+    rng = np.random.default_rng(3)
+    words = rng.uniform(0, 1000, (7, mixing.BANDS)) * (np.arange(mixing.BANDS) < 6) * (rng.random((7, mixing.BANDS)) < 0.8)
+    words[:, 0] += 1
+    target = words.sum(1) * rng.uniform(0.1, 2.9, 7)
+    target[0] = 3 * words[0].sum()
+    bands = words.sum(0) * target.sum() / words.sum()
+    s = spark.createDataFrame([(str(i), float(target[i]), words[i].tolist()) for i in range(7)], "sk string, target double, words array<double>")
+    mu = mixing.balance(s, bands)
+    lam = np.array([mixing.source_lambda(words[i], target[i], mu, 3) for i in range(7)])
+    got = words * np.minimum(np.exp(lam[:, None] + mu), 3)
+    assert np.allclose(got.sum(1), target, rtol=1e-9)
+    assert np.abs(got.sum(0) - bands + mixing.SOFT * bands * mu).max() <= 1e-8 * bands.sum()
+    assert np.abs(mu).max() > 0.01 and np.isfinite(mu).all()
+    value = lambda m: mixing.dual_parts(s, m, 3)[0] - bands @ m + mixing.SOFT / 2 * (bands * m * m).sum()
+    for _ in range(5):
+        assert value(mu) <= value(mu + rng.normal(0, 0.05, mixing.BANDS) * (bands > 0)) + 1e-9
+
+
+def test_mix_repeated_and_nameless_rows(spark):
+    d = docs(spark, [(None, "a b c", "x")] * 40 + [(5, "a b c", "x")] * 10 + [(i, "d " * i, "y") for i in range(60)])
+    got = mixing.mix(d).collect()
+    assert len(got) == 110 and sum(r["doc_id"] is None for r in got) == 40 and sorted(map(str, got)) == sorted(map(str, mixing.mix(d).collect()))
+    by = {t: sum(r["taken"] for r in got if r["target"] == t) for t in {r["target"] for r in got}}
+    assert all(abs(v - t) <= 3 for t, v in by.items())
+
+
+def test_mix_targets_sql(spark, tmp_path):
+    """Sizes and targets against SQL."""
+    rng = random.Random(11)
+    d = docs(spark, [(i, some_words(rng, rng.randrange(0, 90)) + rng.choice(("", "\u00a0x", "\t\n ")), rng.choice(("é", "a", "b", "B", None, "c"))) for i in range(400)])
+    d.write.parquet(str(tmp_path / "d"))
+    sql = f"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS size FROM '{tmp_path}/d/*.parquet'),
+      t AS (SELECT source, sum(size)::BIGINT AS n FROM s GROUP BY source),
+      w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM t),
+      c AS (SELECT *, 3.0 * n / w AS cap FROM w),
+      l AS (SELECT max(level) AS level FROM (SELECT ((SELECT sum(n) FROM c) - coalesce((SELECT sum(3.0 * n) FROM c b WHERE b.cap < a.cap), 0)) / ((SELECT sum(w) FROM c) - coalesce((SELECT sum(w) FROM c b WHERE b.cap < a.cap), 0)) AS level FROM c a))
+      SELECT doc_id, size, n, least(3.0 * n, level * w)::DOUBLE FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source, l"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["target"]) for r in mixing.mix(d).collect()}
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-6 for k in got)
+
+
 # 4
 
 
