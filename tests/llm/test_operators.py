@@ -512,3 +512,28 @@ def test_trie_search():
     for x in sets[:20]:
         expected = {i for i, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
         assert set(ngram_join.trie_search(x, sets)) == expected
+
+
+@pytest.mark.parametrize("stride", [1, 3, 32])
+def test_trie_join(monkeypatch, stride):
+    monkeypatch.setattr(ngram_join, "STRIDE", stride)
+    rng = random.Random(10)
+    base = rng.sample(range(10_000), 90)
+    sets = [np.unique(np.array(rng.sample(base, rng.randrange(70, 91)) + [rng.randrange(10_000) for _ in range(rng.randrange(12))], dtype=np.uint64)) for _ in range(70)]
+    sets += [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 50))], dtype=np.uint64)) for _ in range(70)]
+    sets += [s[:-1] for s in sets[:5]] + [s[:1] for s in sets[:3]]
+    near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    expected = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near(sets[i], sets[j]) and (i + j) % 3}
+    which = np.arange(len(sets))
+    got = [tuple(sorted((i, int(j)))) for i, js in ngram_join.trie_join(sets, lambda i: (which + i) % 3 != 0) for j in js]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 100
+
+
+def test_ngram_join_links_null_ids(spark):
+    rng = random.Random(12)
+    text = some_words(rng, 100, 5000)
+    d = docs(spark, [(None, text, "s"), (9, text.replace("w1", "v1", 1), "s"), (None, some_words(rng, 60), "s"), (3, some_words(rng, 50), "s")])
+    got = sorted(rows(ngram_join.components(d)), key=str)
+    assert [(i, c) for i, _, c in got] == [(3, 3), (9, 9), (None, None), (None, 9)]
+    kept = ngram_join.one_of_each(d.withColumnsRenamed({"n": "own", "sig": "_own_id"}))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"] and "_own_id" in kept.columns

@@ -5,13 +5,14 @@ among prefixes come last, the others by hash. Two sets of Jaccard similarity 0.8
 n - ceil(0.8 n) + 1 of each, so sets meet under the shingles of their prefixes. A meeting is skipped if all who meet there have
 met under the previous shingle of their prefixes already. Those who meet are stored in a trie in the global order and joined
 with one another: overlaps of shared trie paths are counted once, subtrees are pruned by the lengths that remain, and by
-components already known to be one. Meetings of more than PAIRED sets that no pivot explains are counted in pairs of blocks, so
-no task holds more than two blocks at once; every pair still meets. Equal sets are one node throughout, so exact copies cost nothing.
+components already known to be one. Small meetings go to their tries as pairs (one set against a trie of its partners); meetings
+of more than PAIRED sets that no pivot explains go as pairs of blocks, each joined with itself in one trie, so no task holds more
+than two blocks at once; every pair still meets. Equal sets are one node throughout, so exact copies cost nothing.
 
 Null texts and texts without words have an empty set and are their own component. Texts of fewer than five words have their
-whole sequence as one shingle. Repeated rows are copies. A null doc_id takes part and never names a component unless all of its
-members are null. An empty table gives no rows. Very long texts are taken whole. Any two hashes that collide (64 bits) are taken
-for the same shingle.
+whole sequence as one shingle. Repeated rows are copies. Rows of null doc_id take part under ids of their own above all others,
+so a component has a null id only if all of its members have. An empty table gives no rows. Very long texts are taken whole.
+Other columns don't matter, whatever their names. Any two hashes that collide (64 bits) are taken for the same shingle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_sized, shared_table
+from .common import connected_components, join_sized, shared_table, unused
 
 WORDS, SAME, OF = 5, 80, 100
 #: A shingle in more prefixes than this is moved to the end of the order, as long as the list of them stays this short.
 FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 2
-BLOCK, PAIRED = 512, 64
+BLOCK, PAIRED, STRIDE = 512, 64, 32
 BROADCAST_ROWS = 2_000_000
 SLICE = 4 << 20
 P = 0x9E3779B97F4A7C15
@@ -353,24 +354,11 @@ def crowded(many: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def block_links(group: list[tuple]) -> list[tuple[int, int]]:
-    """group: (sig, component, own, set). Links between members of different components, of which one at least is `own`."""
+    """group: (sig, component, own, set). Links between members of different components, of which one at least is `own`, enough of
+    them to span what they join."""
     if len(group) < 2:
         return []
-    n = np.array([len(g[3]) for g in group])
-    tokens, who = np.concatenate([g[3] for g in group]), np.repeat(np.arange(len(group)), n)
-    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    _, column = np.unique(column[shared], return_inverse=True)
-    who, overlap = who[shared], np.zeros((len(group), len(group)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    column, who = column[order], who[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        a, b = np.searchsorted(column, [start, start + 2048])
-        m = np.zeros((len(group), 2048), dtype=np.float32)
-        m[who[a:b], column[a:b] - start] = 1
-        overlap += m @ m.T
     label, own = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-    ok = (overlap * (OF + SAME) >= SAME * (n[:, None] + n[None, :])) & (label[:, None] != label[None, :]) & (own[:, None] | own[None, :])
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -379,14 +367,64 @@ def block_links(group: list[tuple]) -> list[tuple[int, int]]:
         return x
 
     links = []
-    for i, j in zip(*np.nonzero(np.triu(ok)), strict=True):
-        x, y = find(int(label[i])), find(int(label[j]))
-        if x != y:
-            root[x] = y
-            links.append((group[i][0], group[j][0]))
+    for i, others in trie_join([g[3] for g in group], lambda i: (label != label[i]) & (own | own[i])):
+        for j in others:
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x != y:
+                root[x] = y
+                links.append((group[i][0], group[j][0]))
     return links
 
 
+def trie_join(sets: list[np.ndarray], wanted) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those before i in the order of the trie that are linked with set i), for each i with any.
+
+    The sets in the global order are the paths of a trie. It is walked depth first with the overlaps of all sets at once: the
+    counts at a node hold for everything below it, so what paths share is counted once. At every STRIDE nodes the counts are
+    kept, to be taken up by the next path, and compared with what the longest path could still add: where no set can reach what
+    a link needs, nothing below that node is visited. wanted(i): mask of the sets to be linked with i.
+    """
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    n = np.array([len(s) for s in sets])
+    tokens, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    by = np.argsort(tokens, kind="stable")
+    vocabulary, first = np.unique(tokens[by], return_index=True)
+    members, ends = which[by], np.append(first, len(tokens))[1:]
+    need, longest = -(-SAME * n // OF), int(n.max())
+    kept: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(sets), dtype=np.int64))]
+    before, pruned = np.zeros(0, np.uint64), None
+    seen = np.zeros(len(sets), dtype=bool)
+    for i in order:
+        y, ny = sets[i], int(n[i])
+        depth = common_start(before, y)
+        while kept[-1][0] > depth:
+            kept.pop()
+        if pruned is not None and depth >= pruned:
+            seen[i] = True
+            continue  # below a node that was given up; `before` stays the path that reached it
+        pruned = None
+        at, counts = kept[-1]
+        places = np.searchsorted(vocabulary, y[at:])
+        ok = wanted(i) & (OF * np.minimum(n, ny) >= SAME * np.maximum(n, ny))
+        for start in range(at, ny, STRIDE):
+            part = places[start - at : start - at + STRIDE]
+            reached = np.concatenate([members[first[t] : ends[t]] for t in part])
+            counts = counts + np.bincount(reached, minlength=len(sets))
+            upto = start + len(part)
+            if len(part) == STRIDE:
+                kept.append((upto, counts))
+            if not (counts + (longest - upto) >= need)[np.arange(len(sets)) != i].any():
+                pruned = upto
+                break
+            if not (ok & seen & ((counts + (ny - upto)) * (OF + SAME) >= SAME * (n + ny))).any() and upto < ny:
+                break  # nothing for this path, its siblings may differ
+        else:
+            found = np.flatnonzero(ok & seen & (counts * (OF + SAME) >= SAME * (n + ny)))
+            if len(found):
+                yield i, found
+        before, seen[i] = y, True
+
+
 def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b) signatures of sets that are linked, enough of them to span every component.
 
@@ -447,9 +485,21 @@ def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame,
     return links
 
 
+def with_ids(docs: DataFrame, name: str) -> tuple[DataFrame, int | None]:
+    """Adds a column of ids that rows of null doc_id have too, all of those above the number returned (null: no such rows)."""
+    own = docs.withColumn(name, F.col("doc_id").cast("long"))
+    nameless = own.where("doc_id is null")
+    if nameless.isEmpty():
+        return own, None
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    given = shared_table(nameless.withColumn(name, F.lit(most).cast("long") + 1 + F.monotonically_increasing_id()), "nameless")
+    return own.where("doc_id is not null").unionByName(given), most
+
+
 def components(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
+    docs, most = with_ids(docs.select("doc_id", "text"), "_id")
+    docs = docs.select(F.col("_id").alias("doc_id"), "text")
     firsts = shared_table(summaries(docs), "prefixes")
     frequent = frequent_shingles(docs, firsts)
     reps = firsts.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
@@ -458,20 +508,17 @@ def components(docs: DataFrame) -> DataFrame:
     named = links.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
     cc = connected_components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     out = firsts.select("doc_id", "n", "sig").join(reps.join(cc, reps["rep"] == cc["node"], "left").select("sig", F.coalesce("component", "rep").alias("c")), "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+    real = lambda c: c if most is None else F.when(c <= most, c)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, with the columns they came with. Rows of null doc_id take part under ids of their
-    own above all others, so of a component one such row stays if no document in it has an id."""
-    named = docs.where("doc_id is not null").withColumn("_own_id", F.col("doc_id"))
-    nameless = docs.where("doc_id is null")
-    if not nameless.isEmpty():
-        above = F.lit(docs.agg(F.max("doc_id")).first()[0] or 0).cast("long") + 1
-        named = named.unionByName(shared_table(nameless.withColumn("_own_id", above + F.monotonically_increasing_id()), "nameless"))
-    own = components(named.select(F.col("_own_id").alias("doc_id"), "text"))
-    kept = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_own_id")).distinct()
-    return named.join(kept, "_own_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that name their component, with the columns they came with. Of a component without any id one row stays."""
+    name = unused("own", docs.columns)
+    every, most = with_ids(docs, name)
+    own = components(every.select(F.col(name).alias("doc_id"), "text"))
+    kept = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return every.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
