@@ -320,6 +320,29 @@ def test_slots_at_one_path(spark):
     assert got == {i: f"Title {i}\nArticle {i}" for i in range(4)} | {10 + i: f"Article {i}" for i in range(4)}
 
 
+def test_attributes_by_name():
+    """What only looks like a mark stays; marks on containers go."""
+    kept = ["<p data-id='menu-1'>", "<p title='the hidden ad'>", "<div class='side-by-side'>", "<h2 id='share'>", "<section id='social-history'>", "<p data-hidden=1>", "<div aria-hidden=false>", "<div class='navy-blue'>"]
+    gone = ["<div class='site-footer'>", "<div class=adSlot>", "<div id=cookieBanner>", "<p class=share>", "<div role=navigation>", "<p hidden>", "<div aria-hidden='true'>", "<section class='x comments-list y'>", "<div class='ad'>"]
+    for tag in kept + gone:
+        page = html_extraction.Page(f"<article><p>a</p>{tag}text</{re.match('<([a-z0-9]+)', tag)[1]}></article>")
+        path = next(path for path, text, _ in page.blocks if text == "text")
+        assert html_extraction.is_dropped(path) == (tag in gone), tag
+
+
+def test_copies_of_one_page(spark):
+    """However often a page occurs, its host is judged as by that page; many distinct streams are merged in rounds."""
+    one = "<html><body><nav>Menu</nav><div><p>First words of the page</p><p>Second words</p></div></body></html>"
+    pages = [(i, f"http://c{n}.b/", one) for n in (1, 2, 3, 40) for i in range(n)]
+    many = "<html><body><nav>Menu</nav><article>{x}</article></body></html>"
+    pages += [(100 + i, "http://many.b/", many.format(x="".join(f"<h{1 + (i >> k & 1)}>t{i} {k}</h{1 + (i >> k & 1)}>" for k in range(6)))) for i in range(64)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = html_extraction.extract(p, html_extraction.wrappers(p)).collect()
+    assert len(got) == len(pages)
+    assert {r["text"] for r in got if r["page_id"] < 100} == {"First words of the page\nSecond words"}
+    assert all(r["text"] == "\n".join(f"t{r['page_id'] - 100} {k}" for k in range(6)) for r in got if r["page_id"] >= 100)
+
+
 def random_stream(rng, depth=0):
     out = []
     for _ in range(rng.randrange(1, 4)):

@@ -10,8 +10,13 @@ the slot of each text; a slot inside a repeat counts anew for each turn of it, s
 The texts of the chosen slots are the result. A page that wasn't there when its wrapper was inferred and that doesn't match it
 has slots of its own, by path.
 
-Wrappers are inferred in two rounds (folded streams of a host by a hash, then the partial wrappers), from each distinct folded
-stream once, so a host with a third of all pages sends its few distinct streams to several tasks. Null html is empty: empty
+Attributes are read by their names. A class or role marks an element as no article if its words are such words and plain
+helpers of layout (`site-footer`, not `social-history` or `side-by-side`); an id does so on containers only, as headings and
+paragraphs have ids to be linked to.
+
+Wrappers are inferred from each distinct folded stream once, in rounds that align at most FAN_IN of them in one task, until a host
+has one; so a host with a third of all pages sends its distinct streams to many tasks. Copies of a page count as one page when
+slots are judged. Other columns don't matter, whatever their names; an empty table gives no rows. Null html is empty: empty
 text. Null urls and urls without host share one wrapper. Repeated rows each get their text. Hosts with one page are judged by
 that page. Pages are parsed whole, once; what was parsed is kept in the shared folder.
 """
@@ -32,14 +37,15 @@ from pyspark.sql import functions as F
 from .common import shared_table, small_enough
 from .url_filters import host_of
 
-SALTS = 16
+FAN_IN = 32
 BROADCAST_HOSTS = 20_000
 #: Held per task before counts of streams and slots are passed on.
 MOST_HELD = 20_000
 LONGEST_GROUP = 12
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,8 +54,25 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 DROPPED = frozenset("head nav aside footer form script style noscript template iframe button select textarea title svg object canvas dialog menu".split())
 MAIN = frozenset("article main".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Words in class, id or role that mark what isn't the article, and words that may stand beside them.
 NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu menubar nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side aside cookie cookies consent notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login comment comments reply replies disqus respond discussion contentinfo complementary search toolbar pagination widget hidden".split())
+HELPERS = frozenset("site page main top bottom left right box bar wrap wrapper container list item items section block inner outer area link links button buttons form title heading body content text post posts article articles story stories slot unit user reader global primary secondary desktop mobile sticky fixed row col column panel group thread count policy privacy icon icons media us follow js is has the id tag tags layout grid module component region zone holder frame head foot".split())
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p li td th dt dd tr caption blockquote pre figcaption".split())
+
+
+def marks_of(name: str, attributes: str) -> tuple[list[str], bool]:
+    """The words of class, id and role of an element, and whether they say that it isn't part of the article."""
+    found: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(attributes):
+        found.setdefault(key.lower(), html.unescape(value.strip("\"'")) if value else "")
+    out, gone = set(), "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    for key in ("class", "id", "role"):
+        for token in found.get(key, "").split():
+            own = [w.lower() for w in WORD.findall(token)]
+            out.update(f"{key}:{w}" for w in own if w.isascii())
+            said = any(w in NOT_MAIN for w in own) and all(w in NOT_MAIN or w in HELPERS for w in own)
+            gone = gone or said and not (key == "id" and (name in ANCHORS or name in INLINE))
+    return sorted(out), gone
 
 
 class Page:
@@ -111,8 +134,8 @@ class Page:
             self.close(name)
         sig = name
         if attributes:
-            marks = [f"{k.lower()}:{w}" for k, v in ATTRIBUTE.findall(attributes) for w in re.findall(r"[a-z]+", v.lower()) or [""]]
-            sig = ".".join([name, *sorted(set(marks))])
+            marks, gone = marks_of(name, attributes)
+            sig = ".".join([name, *["!"] * gone, *marks])
         if name not in INLINE:
             self.flush()
             self.stream.append(f"<{sig}>")
@@ -302,7 +325,7 @@ def is_dropped(path: str) -> bool:
         name, *marks = element.split(".")
         if name in DROPPED or name == "header" and not inside:
             return True
-        if any(m.split(":")[1] in NOT_MAIN or m.startswith(("hidden:", "aria-hidden:true")) for m in marks) and name not in ("html", "body"):
+        if "!" in marks and name not in ("html", "body"):
             return True
         inside = inside or name in MAIN
     return False
@@ -407,9 +430,13 @@ def inferred(p: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "stream": [merged(pdf["stream"])]})
 
-    salted = p.select("host", "stream").distinct().withColumn("_salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    rounds = salted.groupBy("host", "_salt").applyInPandas(one, "host string, stream string")
-    return rounds.groupBy("host").applyInPandas(one, "host string, stream string").withColumnRenamed("stream", "wrapper")
+    w = shared_table(p.select("host", "stream").distinct(), "streams")
+    while True:
+        sizes = w.groupBy("host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return w.withColumnRenamed("stream", "wrapper")
+        salted = w.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / FAN_IN)))
+        w = shared_table(salted.groupBy("host", "salt").applyInPandas(one, "host string, stream string").distinct(), "streams")
 
 
 def with_hosts(p: DataFrame, by_host: DataFrame) -> DataFrame:
@@ -417,8 +444,8 @@ def with_hosts(p: DataFrame, by_host: DataFrame) -> DataFrame:
 
 
 def observed(p: DataFrame, by_host: DataFrame) -> DataFrame:
-    """host, slot, pages, chars, linked, lo, hi: what each task saw, for the host's sums."""
-    names = ["host", "slot", "pages", "chars", "linked", "lo", "hi"]
+    """host, slot, pages (distinct ones, as far as three), chars, linked, lo, hi (of the digests of its texts)."""
+    names = ["host", "slot", "chars", "linked", "lo", "hi", "digests"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list] = {}
@@ -427,23 +454,26 @@ def observed(p: DataFrame, by_host: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             columns = [list(x) for x in zip(*[(*k, *v) for k, v in held.items()], strict=True)] or [[]] * 7
             held.clear()
-            kinds = [pa.string()] * 2 + [pa.int64()] * 3 + [pa.string()] * 2
+            kinds = [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             for host, wrapper, stream, leaves, paths, texts, linked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                page = hashlib.md5("\n".join(texts).encode("utf-8", "replace")).hexdigest()
                 for slot, text, link in zip(match(wrapper, stream, leaves, paths), texts, linked, strict=True):
                     digest = hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
-                    x = held.setdefault((host, slot), [0, 0, 0, digest, digest])
-                    x[:] = [x[0] + 1, x[1] + len(text), x[2] + len(text) * link, min(x[3], digest), max(x[4], digest)]
+                    x = held.setdefault((host, slot), [0, 0, digest, digest, []])
+                    seen_in = x[4] if page in x[4] else sorted([*x[4], page])[:3]
+                    x[:] = [x[0] + len(text), x[1] + len(text) * link, min(x[2], digest), max(x[3], digest), seen_in]
                 if len(held) >= MOST_HELD:
                     yield out()
         yield out()
 
     seen = with_hosts(p, by_host).select("host", "wrapper", "stream", "leaves", "paths", "texts", "linked")
-    seen = seen.mapInArrow(rows, "host string, slot string, pages long, chars long, linked long, lo string, hi string")
-    sums = [F.sum(c).alias(c) for c in ("pages", "chars", "linked")]
-    return seen.groupBy("host", "slot").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    seen = seen.mapInArrow(rows, "host string, slot string, chars long, linked long, lo string, hi string, digests array<string>")
+    # three digests are enough to tell one or two pages from more; equal arrays fall together before the shuffle
+    pages = F.size(F.array_distinct(F.flatten(F.collect_set("digests")))).cast("long").alias("pages")
+    return seen.groupBy("host", "slot").agg(pages, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def judged(p: DataFrame) -> DataFrame:
