@@ -378,6 +378,16 @@ def test_url_rules(spark):
     assert url_filters.filter_urls(p.limit(0), o).count() == 0
 
 
+def test_registered_domains(spark):
+    """Owners below a suffix of two labels aren't judged by each other's pages."""
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:8080": ("y.com", "com"), "me.github.io": ("me.github.io", "github.io"), "10.0.0.7:80": ("10.0.0.7", "10.0.0.7"), "one": ("one", "one"), "": ("", "")}
+    d = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r[0]: (r[1], r[2]) for r in d.select("h", url_filters.domain_of(d.h), url_filters.suffix_of(d.h)).collect()} == hosts
+    o = spark.createDataFrame([("bad.co.uk", 0)] * 80 + [(f"good{i}.co.uk", 1) for i in range(40) for _ in range(9)] + [("ok.com", 1)] * 50, "host string, good int")
+    p = spark.createDataFrame([(1, "http://www.bad.co.uk/"), (2, "http://new.co.uk/"), (3, "http://www.good1.co.uk/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(p, o).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 # 7
 
 

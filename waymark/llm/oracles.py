@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .url_filters import SUFFIXES as PUBLIC
+
+SUFFIXES = ", ".join(f"'{s}'" for s in PUBLIC)
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 DIGIT = "('0x' || substr(h, {i}, 5))::BIGINT"
@@ -19,7 +22,9 @@ SHRUNK = "s*m+k AS a, s*(1-m)+n-k AS b"
 OP6 = rf"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://')+3) ELSE '' END AS r FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), '{AZ}', '{az}') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-q AS (SELECT *, CASE WHEN len(string_split(host, '.')) >= 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain, string_split(host, '.')[-1] AS suffix FROM p),
+b AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM p),
+y AS (SELECT *, string_split(bare, '.') AS l, CASE WHEN len(string_split(bare, '.')) >= 2 THEN string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] ELSE bare END AS two, regexp_matches(bare, '^[0-9.]+$') AS num FROM b),
+q AS (SELECT page_id, host, path, CASE WHEN num THEN bare WHEN two IN ({SUFFIXES}) AND len(l) >= 3 THEN l[-3] || '.' || two ELSE two END AS domain, CASE WHEN num THEN bare WHEN two IN ({SUFFIXES}) THEN two ELSE l[-1] END AS suffix FROM y),
 o AS (SELECT host, domain, suffix, CASE WHEN quality=1 AND toxic=0 THEN 1 ELSE 0 END AS good FROM q JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) WHERE host <> '' AND quality IS NOT NULL AND toxic IS NOT NULL),
 h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM o GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),

@@ -2,11 +2,15 @@
 
 Reputation is empirical Bayes: labelled pages of a host are shrunk to its registered domain, that one's to its suffix, that
 one's to all labelled pages, each through a beta-binomial prior whose strength is fitted by moments to the spread among the
-children of its level. A host is blocked when the upper bound of its posterior rate of good pages stays below a threshold.
+children of its level. A host is blocked when the upper bound of its posterior rate of good pages stays below a threshold (the
+normal approximation of the beta posterior's quantile).
+
+The suffix is the last label of a host, or its last two where a fixed table has them as a public suffix under which anyone may
+register; the registered domain is one label more. Ports don't count, and a numeric address is a domain and a suffix by itself.
 
 Null urls and urls without :// have an empty host and path, fit no rule and are judged by the mean of all labelled pages;
 so are hosts nobody labelled, by the nearest labelled level. With no labelled page at all the prior is one half at strength
-two and nothing is blocked. Repeated urls each keep their row. A host with a third of all rows is a row like any other in
+two and nothing is blocked. Repeated urls each keep their row, very long ones are taken whole, other columns don't matter. A host with a third of all rows is a row like any other in
 the aggregates; the join that brings scores back is an equi-join that AQE broadcasts or splits.
 """
 
@@ -20,6 +24,34 @@ from .common import lower_ascii, shared_table
 #: The rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 1000
+#: Public suffixes of two labels, by country and by host of other people's pages.
+SUFFIXES = tuple("""
+ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk
+asn.au com.au edu.au gov.au id.au net.au org.au
+ac.nz co.nz geek.nz govt.nz net.nz org.nz school.nz
+ac.jp ad.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp
+ac.kr co.kr go.kr ne.kr or.kr re.kr
+ac.za co.za gov.za net.za org.za web.za
+ac.in co.in edu.in firm.in gen.in gov.in ind.in net.in nic.in org.in
+ac.id co.id go.id or.id sch.id web.id
+ac.th co.th go.th in.th or.th
+ac.il co.il gov.il net.il org.il
+com.br edu.br gov.br net.br org.br
+com.ar edu.ar gob.ar net.ar org.ar
+com.mx edu.mx gob.mx net.mx org.mx
+com.cn edu.cn gov.cn net.cn org.cn
+com.hk edu.hk gov.hk net.hk org.hk
+com.tw edu.tw gov.tw net.tw org.tw
+com.sg edu.sg gov.sg net.sg org.sg
+com.my edu.my gov.my net.my org.my
+com.tr edu.tr gov.tr net.tr org.tr
+com.ua edu.ua gov.ua net.ua org.ua
+com.pl edu.pl gov.pl net.pl org.pl
+com.es gob.es nom.es org.es
+com.co com.pe com.ph com.vn com.eg com.sa com.pk com.ng co.ke co.at or.at
+appspot.com azurewebsites.net blogspot.com cloudfront.net firebaseapp.com github.io gitlab.io herokuapp.com
+myshopify.com netlify.app onrender.com pages.dev readthedocs.io surge.sh vercel.app web.app wordpress.com workers.dev
+""".split())
 Z, LEAST_RATE = 1.645, 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
@@ -37,12 +69,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest_of(url), F.lit("")), "^[^/?#]*([^?#]*)", 1)
 
 
+def bare(host: Column) -> tuple[Column, Column, Column]:
+    """The host without its port, whether that is a numeric address, and whether its last two labels are a public suffix."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    return name, name.rlike(r"^[0-9.]+$"), F.substring_index(name, ".", -2).isin(*SUFFIXES)
+
+
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    name, numeric, long = bare(host)
+    return F.when(numeric, name).when(long, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    name, numeric, long = bare(host)
+    return F.when(numeric, name).when(long, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
