@@ -52,6 +52,22 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def with_ids(df: DataFrame, name: str, key: str = "doc_id") -> tuple[DataFrame, int | None]:
+    """Adds a column of ids that rows of null key have too, all of those above the number returned (None: no such rows)."""
+    own = df.withColumn(name, F.col(key).cast("long"))
+    nameless = own.where(F.col(key).isNull())
+    if nameless.isEmpty():
+        return own, None
+    most = df.agg(F.max(key)).first()[0] or 0
+    given = shared_table(nameless.withColumn(name, F.lit(most).cast("long") + 1 + F.monotonically_increasing_id()), "nameless")
+    return own.where(F.col(key).isNotNull()).unionByName(given), most
+
+
+def real_id(column: Column, most: int | None) -> Column:
+    """Ids as they came: null for those that with_ids() gave."""
+    return column if most is None else F.when(column <= most, column)
+
+
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; empty for null and for blank texts."""
     blanks = " " * (len(SPACES) - 1)

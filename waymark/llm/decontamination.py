@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced seeds: masks that ignore some token positions, hashed on both sides and joined.
 
 Texts are lower-cased and stripped of punctuation, then cut at white space. Every window of every document is hashed under
-every mask; a bitmap of the benchmark's hashes, fixed in size, drops nearly all of them inside the row, and an equi-join finds
-the rest. Around each hit the item is laid along the document and compared word by word, substitutions allowed.
+every mask; a bitmap of the benchmark's hashes, of SPARSE bits a seed and 2**MOST_BITS at most, drops nearly all of them inside
+the row, and an equi-join finds the rest. Around each hit the item is laid along the document and compared word by word, substitutions allowed.
 
 The masks follow the length of the item: each set is proven by enumeration (in the tests) to have a mask that misses every set
 of substituted words that still makes a leak, so no leak is without a hit. Only the sets of lengths that occur are hashed.
 
-Null and blank texts and items match nothing. Items so short that all their words must agree are matched whole, by their own
-hash. Repeated documents and items each count for themselves. An empty benchmark returns no rows. Only hits carry on, so
-documents that share no passage with the benchmark never leave their task.
+Null and blank texts and items match nothing. Items so short that all their words must agree have one mask that takes them
+whole. Documents of null id take part under an id of their own, and so do items; a document id that repeats counts as one
+document with the passages of all its rows. Very long texts are taken whole. Other columns don't matter, whatever their names. An
+empty table on either side returns no rows. Only hits carry on, so documents that share no passage with the benchmark never
+leave their task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_sized, shared_table
+from .common import SPACES, join_sized, real_id, shared_table, unused, with_ids
 
 #: The masks by the words in line that must agree (MIN_WORDS or a shorter item); 1 takes a word into the hash, 0 ignores it.
 MASKS = {
@@ -33,7 +35,7 @@ MASKS = {
 }
 #: A leak is `MIN_WORDS` words in line (or the whole item, if shorter) of which at least `MIN_SAME` percent agree.
 MIN_WORDS, MIN_SAME = 13, 80
-BITS = 20
+BITS, MOST_BITS, SPARSE = 20, 26, 64
 BROADCAST_ROWS = 2_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>`_~^=+/\\"
 
@@ -94,33 +96,27 @@ def bitmap(seeds: DataFrame, bits: int = BITS) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_words: int = MIN_WORDS, min_same: int = MIN_SAME) -> DataFrame:
     """(doc_id, item_id, n_same, n_items_words): every document and item that share a passage, with the most words that agree
     along one alignment. docs: doc_id, text; benchmark: item_id, text."""
-    items = hashed(benchmark.select("item_id", "text"), "item_id", "text").where(F.size("w") > 0).withColumn("run", F.least(F.size("w"), F.lit(min_words)))
+    docs, last_doc = with_ids(docs.select("doc_id", "text"), "_id")
+    benchmark, last_item = with_ids(benchmark.select("item_id", "text"), "_id", "item_id")
+    docs, benchmark = docs.select(F.col("_id").alias("doc_id"), "text"), benchmark.select(F.col("_id").alias("item_id"), "text")
+    items = hashed(benchmark, "item_id", "text").where(F.size("w") > 0).withColumn("run", F.least(F.size("w"), F.lit(min_words)))
     runs = sorted(r["run"] for r in items.select("run").distinct().collect())  # min_words rows at most
-    whole_only = [r for r in runs if r < min_words and not most_wrong(r, min_same)]
-    sets = {r: masks_of(r, min_same, masks) for r in runs if r not in whole_only}
+    sets = {r: masks_of(r, min_same, masks) for r in runs}
     used = sorted({m for x in sets.values() for m in x})
     names = [f"m{i}" for i in range(len(used))]
     none = F.lit(None).cast("array<bigint>")
     own = [F.when(F.col("run").isin([r for r in sets if m in sets[r]]), w).otherwise(none).alias(name) for m, name, w in zip(used, names, windows("wh", used), strict=True)]
     seeds = items.select("item_id", *own).select("item_id", F.explode(F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *map(placed, names))).alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.h").alias("h"))
-    # the bitmap is a column so that each row's array functions can read it; its size is fixed
-    d = hashed(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", "text").select("doc_id", *windows("wh", used), bitmap(seeds).scalar().alias("bits"))
-    cell = lambda h: F.pmod(h, F.lit(1 << BITS))
+    # the bitmap is a column so that each row's array functions can read it; its size follows the benchmark, not the documents
+    seeds = shared_table(seeds, "seeds")
+    bits = min(max(BITS, (SPARSE * seeds.count()).bit_length()), MOST_BITS)
+    d = hashed(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", *windows("wh", used), bitmap(seeds, bits).scalar().alias("bits"))
+    cell = lambda h: F.pmod(h, F.lit(1 << bits))
     known = lambda h: F.get("bits", F.shiftright(cell(h), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), cell(h).bitwiseAND(F.lit(63)).cast("int"))) != 0
     found = d.select("doc_id", F.explode(F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *[placed(m, known) for m in names])).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
     hits = shared_table(found.join(seeds, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
     checked = verified(docs, items.drop("run"), hits, min_words, min_same)
-    if whole_only:
-        short = items.where(F.col("run").isin(whole_only)).select("item_id", F.array_join("w", " ").alias("phrase"))
-        whole = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(norm_words(F.col("text")), " "), F.lit(" ")).alias("t"))
-        grams = whole.select("doc_id", "t").withColumn("g", F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, whole_only)), lambda k: ngrams(F.split(F.btrim("t"), " "), k)))))
-        exact = grams.select("doc_id", F.explode("g").alias("phrase")).join(short, "phrase").select("doc_id", "item_id", F.size(F.split("phrase", " ")).cast("long").alias("n_same"), F.size(F.split("phrase", " ")).cast("long").alias("n_item_words")).distinct()
-        checked = checked.unionByName(exact)
-    return checked
-
-
-def ngrams(w: Column, k: Column) -> Column:
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    return checked.select(real_id(F.col("doc_id"), last_doc).alias("doc_id"), real_id(F.col("item_id"), last_item).alias("item_id"), "n_same", "n_item_words")
 
 
 def verified(docs: DataFrame, items: DataFrame, hits: DataFrame, min_words: int, min_same: int) -> DataFrame:
@@ -141,9 +137,11 @@ def verified(docs: DataFrame, items: DataFrame, hits: DataFrame, min_words: int,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a leak, with the columns they came with; rows of null doc_id stay."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return join_sized(docs, bad, "doc_id", "left_anti", BROADCAST_ROWS)
+    """Documents without a leak, with the columns they came with; rows of null doc_id are judged one by one."""
+    name = unused("own", docs.columns)
+    every, _ = with_ids(docs, name)
+    bad = leaks(every.select(F.col(name).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return join_sized(every, bad, name, "left_anti", BROADCAST_ROWS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_sized, shared_table, unused
+from .common import connected_components, join_sized, real_id, shared_table, unused, with_ids
 
 WORDS, SAME, OF = 5, 80, 100
 #: A shingle in more prefixes than this is moved to the end of the order, as long as the list of them stays this short.
@@ -485,17 +485,6 @@ def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame,
     return links
 
 
-def with_ids(docs: DataFrame, name: str) -> tuple[DataFrame, int | None]:
-    """Adds a column of ids that rows of null doc_id have too, all of those above the number returned (null: no such rows)."""
-    own = docs.withColumn(name, F.col("doc_id").cast("long"))
-    nameless = own.where("doc_id is null")
-    if nameless.isEmpty():
-        return own, None
-    most = docs.agg(F.max("doc_id")).first()[0] or 0
-    given = shared_table(nameless.withColumn(name, F.lit(most).cast("long") + 1 + F.monotonically_increasing_id()), "nameless")
-    return own.where("doc_id is not null").unionByName(given), most
-
-
 def components(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, n_shingles, component_id."""
     docs, most = with_ids(docs.select("doc_id", "text"), "_id")
@@ -508,8 +497,8 @@ def components(docs: DataFrame) -> DataFrame:
     named = links.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("rb")), "b")
     cc = connected_components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     out = firsts.select("doc_id", "n", "sig").join(reps.join(cc, reps["rep"] == cc["node"], "left").select("sig", F.coalesce("component", "rep").alias("c")), "sig", "left")
-    real = lambda c: c if most is None else F.when(c <= most, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))).alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))
+    return out.select(real_id(F.col("doc_id"), most).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(component, most).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
