@@ -12,7 +12,7 @@ DIGIT = "('0x' || substr(h, {i}, 5))::BIGINT"
 BASE32 = " || ".join(" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({DIGIT.format(i=1 + 5 * k)} >> {s}) & 31 AS BIGINT), 1)" for s in (15, 10, 5, 0)) for k in range(8))
 
 OP1 = f"""
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to, 1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM (SELECT page_id, strlen(p) AS payload_bytes, {BASE32} AS payload_digest FROM (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages)))
 """
 

@@ -8,7 +8,9 @@ nested row per capture.
 Null payloads are empty, null urls become urn:page:<id>; pages of null id are responses and read back with a null id. Of pages
 that repeat the smallest id of a payload each is a response. An empty table writes no records and reads back as no rows. Further
 requests or metadata records of one capture are counted, the one with the least record id is kept. Records whose concurrent-to
-names no capture in the archives belong to no transaction and are left out.
+names no capture in the archives belong to no transaction and are left out. What a revisit refers to is resolved by its
+WARC-Refers-To among the captures of the archives. Very long payloads are written and read whole, up to the 2 GB that a row can
+hold; other columns of the pages don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import join_sized, remove_shared, shared_path, shared_table
 
 #: RFC 4648 digits against those of conv(…, 32), and the identical-payload profile of the standard.
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 12_000
+BROADCAST_ROWS = 500_000
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 RECORD_SCHEMA = "record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, fields string, payload binary"
@@ -57,9 +60,9 @@ def header(name: str, value: Column) -> Column:
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to: the smallest page_id of equal payloads, null for that page itself."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    firsts = p.select("page_id", "payload_digest", "payload_bytes").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    # narrow on both sides; only the decision meets the payloads again, by page, so that no payload's copies gather
-    p = p.join(firsts, "payload_digest", "left")
+    firsts = p.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    # only digests that repeat are joined: where they are few they are broadcast and no payload moves, else AQE splits a hot digest
+    p = join_sized(p, shared_table(firsts.where("n > 1").drop("n"), "repeats"), "payload_digest", "left", BROADCAST_ROWS)
     repeats = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") > F.col("first_id"))
     return p.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(repeats, F.col("first_id")).alias("refers_to"))
 
@@ -75,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     target = F.regexp_extract("_uri", "://[^/?#]*([^#]*)", 1)
     ask = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"), F.when(again, "").otherwise(F.col("payload")))
-    about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.coalesce(F.concat(F.lit("revisit-of: "), F.col("refers_to").cast("string"), F.lit("\r\n")), F.lit("")))
+    about = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     request = record(F.lit("request"), [*common, header("WARC-Record-ID", urn("request", F.col("page_id"))), header("WARC-Concurrent-To", capture), header("Content-Type", F.lit("application/http;msgtype=request"))], ask)
     response = record(
         F.when(again, "revisit").otherwise("response"),
@@ -189,11 +192,21 @@ def transactions(records: DataFrame) -> DataFrame:
     return captures.join(side("request", "n_requests"), "capture_id", "left").join(side("metadata", "n_metadata"), "capture_id", "left")
 
 
+def captures(records: DataFrame) -> DataFrame:
+    """capture_id, page_id, payload_bytes, payload_digest, record_type, refers_to, n_requests, n_metadata: one row a transaction, the
+    page ids as its metadata say, what a revisit refers to as the page id of the capture that WARC-Refers-To names."""
+    said = F.regexp_extract("metadata.fields", "(?:^|\\n)page-id: (-?[0-9]+)", 1)
+    t = transactions(records).select("capture_id", F.when(said != "", said.cast("long")).alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("to_id"), "n_requests", "n_metadata")
+    t = shared_table(t, "captures")
+    named = t.where("record_type = 'response'").select(F.col("capture_id").alias("to_id"), F.col("page_id").alias("refers_to"))
+    wanted = t.where("to_id is not null").select("to_id").distinct()
+    known = named.join(wanted, "to_id", "left_semi").groupBy("to_id").agg(F.min("refers_to").alias("refers_to"))
+    return join_sized(t, known, "to_id", "left", BROADCAST_ROWS).select("capture_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("n_requests", F.lit(0)).cast("long").alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).cast("long").alias("n_metadata"))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    said = lambda name: F.regexp_extract("metadata.fields", f"(?:^|\\n){name}: (-?[0-9]+)", 1)
-    number = lambda name: F.when(said(name) != "", said(name).cast("long"))
-    return transactions(read_records(spark, path, keep_payload=False)).select(
-        number("page-id").alias("page_id"), F.col("response.payload_bytes"), F.col("response.payload_digest"), F.col("response.warc_type").alias("record_type"), number("revisit-of").alias("refers_to")
-    )
+    found = shared_table(captures(read_records(spark, path, keep_payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_requests", "n_metadata"), "warc-pages")
+    remove_shared(spark, path)  # what was asked for has been read back
+    return found
