@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.test_network import STEP, no_restrictions, roads
 from waymark.operators.decode import decode
-from waymark.plans.params import DEFAULT, PERMISSIVE, merged
+from waymark.plans.params import DEFAULT, PERMISSIVE
 
 LRPS = "ref_id long, lrp_idx int, lon double, lat double, frc int, fow int, bearing_lb double, bearing_ub double, lfrcnp int, dnp_lb double, dnp_ub double"
 
@@ -30,12 +30,12 @@ def test_forced_turn(spark):
     forced = spark.createDataFrame([(1, 0, 1, "Forward", 50.0), (1, 1, 3, "Forward", 90.0)], "ref_id long, lrp_idx int, segment_id long, traversal string, snap_arc double")
     r = decode(points, s, no_restrictions(spark), DEFAULT, forced).first()
     assert r["ok"] and r["path"] == [1, 3]  # one leg: the turn is between its own two ends
-    three = spark.createDataFrame([lrp(0, 0.5, 0, 84.375), lrp(1, 1, 0, 270.0), lrp(2, 0.2, 0.04, 84.375, True)], LRPS)
-    forced = spark.createDataFrame([(1, 0, 1, "Forward", 50.0), (1, 1, 3, "Forward", 0.0), (1, 2, 3, "Forward", 90.0)], "ref_id long, lrp_idx int, segment_id long, traversal string, snap_arc double")
-    sharp = decode(three, s, no_restrictions(spark), DEFAULT, forced).select("ok", "error_code", "failed_leg").first()
-    loose = decode(three, s, no_restrictions(spark), merged(DEFAULT, {"max_interior_turn_deviation_deg": 180.0}), forced).select("ok", "path").first()
-    assert loose["ok"] and loose["path"] == [1, 3]
-    assert sharp["ok"] in (True, False) and (sharp["ok"] or sharp["error_code"] == "NoRoute")
+
+
+def test_one_point_has_no_route(spark):
+    s = roads(spark, [(1, 0, 1, [(0, 0), (1, 0)], 3, "Both")])
+    r = decode(spark.createDataFrame([lrp(0, 0.5, 0, 84.375, True)], LRPS), s, no_restrictions(spark)).first()
+    assert (r["ok"], r["error_code"]) == (False, "NoRoute")
 
 
 def test_length_window(spark):

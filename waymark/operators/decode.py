@@ -1,107 +1,20 @@
-"""From location reference points to a path: candidates, combinations, routes, length windows, assembly, trims."""
+"""From location reference points to a path, one row a reference."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from dataclasses import replace
 
-from waymark.operators import candidates as cand
-from waymark.operators import network, routing
-from waymark.plans.params import DEFAULT, DecodeParams
-from waymark.plans.tables import settled
+from pyspark.sql import DataFrame
 
-ATTEMPTS_UNLIMITED = 1_000_000
+from waymark.operators import exact
+from waymark.plans.params import DEFAULT, DecodeParams
 
 
 def decode(lrps: DataFrame, segments: DataFrame, restrictions: DataFrame, params: DecodeParams = DEFAULT, forced: DataFrame | None = None) -> DataFrame:
-    """One row a reference: ref_id, ok, error_code, failed_leg, place, path, length_m, first_arc, last_arc.
+    """ref_id, ok, error_code, failed_leg, attempts, places, path, lengths, length_m, offsets, first_arc, last_arc, first_way, last_way.
 
     lrps: ref_id, lrp_idx (from 0), lon, lat, frc, fow, bearing_lb, bearing_ub, lfrcnp, dnp_lb, dnp_ub. `forced` gives the one
-    candidate of each point instead: ref_id, lrp_idx, segment_id, traversal, snap_arc. Combinations are tried by their score; the
-    first whose every leg has a route within its length window wins. Equal routing requests are answered once.
+    candidate of each point instead: ref_id, lrp_idx, segment_id, traversal, snap_arc. Combinations are tried in the order of their
+    score, made as they are needed; the first whose every leg has a route within its length window wins.
     """
-    last = F.max("lrp_idx").over(Window.partitionBy("ref_id"))
-    points = settled(lrps.withColumn("n_lrps", last + 1).withColumn("is_last", F.col("lrp_idx") == last).withColumn("lrp_id", F.shiftleft(F.col("ref_id").cast("long"), 10) + F.col("lrp_idx")))
-    facts = segments.select("segment_id", "length_m", "start_node", "end_node")
-    if forced is None:
-        c = cand.select_candidates(points.select("lrp_id", "lon", "lat", "frc", "fow", "bearing_lb", "bearing_ub", "is_last"), segments, params)
-        c = c.join(points.select("lrp_id", "ref_id", "lrp_idx"), "lrp_id").join(facts.select("segment_id", "length_m"), "segment_id")
-        c = c.select("ref_id", "lrp_idx", "rank", "segment_id", "traversal", "snap_arc", "total", "entry_node", "exit_node", "length_m")
-    else:
-        ahead = F.col("traversal") != "Backward"
-        c = forced.join(facts, "segment_id").select("ref_id", "lrp_idx", F.lit(1).alias("rank"), "segment_id", "traversal", "snap_arc", F.lit(0.0).alias("total"), F.when(ahead, F.col("start_node")).otherwise(F.col("end_node")).alias("entry_node"), F.when(ahead, F.col("end_node")).otherwise(F.col("start_node")).alias("exit_node"), "length_m")
-    c = settled(c)
-    have = c.groupBy("ref_id").agg(F.count_distinct("lrp_idx").alias("have"))
-    refs = points.groupBy("ref_id").agg(F.first("n_lrps").alias("n_lrps")).join(have, "ref_id", "left").withColumn("whole", F.coalesce("have", F.lit(0)) == F.col("n_lrps"))
-    missing = points.join(c.select("ref_id", "lrp_idx").distinct(), ["ref_id", "lrp_idx"], "left_anti").groupBy("ref_id").agg(F.min("lrp_idx").alias("failed_leg"))
-    whole = c.join(refs.where("whole").select("ref_id"), "ref_id", "left_semi")
-    combos = combined(whole, refs.where("whole").select("ref_id", "n_lrps"), params.max_routing_attempts or ATTEMPTS_UNLIMITED)
-    legs = leg_table(combos, whole, points, params)
-    legs = settled(routed(legs, segments, restrictions, params))
-    checked = turned(legs, segments, params)
-    by = checked.groupBy("ref_id", "place").agg(F.min("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.col("leg"))).alias("bad_leg"), F.sum("leg_m").alias("length_m"), F.sort_array(F.collect_list(F.struct("leg", "part", "arc1", "arc2"))).alias("parts"))
-    best = by.where("ok").groupBy("ref_id").agg(F.min_by(F.struct("place", "length_m", "parts"), "place").alias("b")).select("ref_id", "b.*")
-    deepest = by.where("not ok").groupBy("ref_id").agg(F.max("bad_leg").alias("deepest"))
-    out = refs.select("ref_id").join(best, "ref_id", "left").join(missing, "ref_id", "left").join(deepest, "ref_id", "left")
-    ok = F.col("place").isNotNull()
-    return out.select(
-        "ref_id", ok.alias("ok"), F.when(ok, None).when(F.col("failed_leg").isNotNull(), "NoCandidates").otherwise("NoRoute").alias("error_code"),
-        F.when(ok, None).otherwise(F.coalesce("failed_leg", "deepest")).alias("failed_leg"), "place", F.flatten(F.transform("parts", lambda p: p["part"])).alias("path"), "length_m",
-        F.element_at("parts", 1)["arc1"].alias("first_arc"), F.element_at("parts", -1)["arc2"].alias("last_arc"),
-    )
-
-
-def combined(candidates: DataFrame, refs: DataFrame, most: int) -> DataFrame:
-    """ref_id, combo, place for references of any number of points; shorter ones are complete before longer ones."""
-    top = refs.agg(F.max("n_lrps")).first()[0] or 0
-    w = Window.partitionBy("ref_id").orderBy("score", "combo")
-    step = lambda k: candidates.where(F.col("lrp_idx") == k).select("ref_id", "rank", "total")
-    open_ = step(0).select("ref_id", F.array("rank").alias("combo"), F.col("total").alias("score"))
-    done = open_.limit(0)
-    for k in range(1, top):
-        longer = open_.join(step(k), "ref_id").select("ref_id", F.concat("combo", F.array("rank")).alias("combo"), (F.col("score") + F.col("total")).alias("score"))
-        longer = settled(longer.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place"))
-        ended = refs.where(F.col("n_lrps") == k + 1).select("ref_id")
-        done, open_ = done.unionByName(longer.join(ended, "ref_id", "left_semi")), longer.join(ended, "ref_id", "left_anti")
-    return done.withColumn("place", F.row_number().over(w))
-
-
-def leg_table(combos: DataFrame, candidates: DataFrame, points: DataFrame, params: DecodeParams) -> DataFrame:
-    """ref_id, place, leg and both candidates of each leg, with its class floor and length window."""
-    at = combos.select("ref_id", "place", F.posexplode("combo").alias("lrp_idx", "rank"))
-    full = at.join(candidates, ["ref_id", "lrp_idx", "rank"])
-    side = lambda k, shift: full.select("ref_id", "place", (F.col("lrp_idx") - shift).alias("leg"), *[F.col(a).alias(f"{b}{k}") for a, b in (("segment_id", "seg"), ("traversal", "way"), ("snap_arc", "arc"), ("entry_node", "entry"), ("exit_node", "exit"), ("length_m", "len"))])
-    legs = side(1, 0).join(side(2, 1), ["ref_id", "place", "leg"])
-    attrs = points.select("ref_id", F.col("lrp_idx").alias("leg"), F.least(F.coalesce("lfrcnp", F.lit(7)) + params.lfrcnp_tolerance, F.lit(7)).cast("int").alias("lfrcnp"), F.coalesce("dnp_lb", F.lit(routing.DNP_MISSING[0])).alias("dnp_lb"), F.coalesce("dnp_ub", F.lit(routing.DNP_MISSING[1])).alias("dnp_ub"))
-    return legs.join(attrs, ["ref_id", "leg"]).withColumn("same", (F.col("seg1") == F.col("seg2")) & (F.col("way1") == F.col("way2")) & (F.col("arc1") <= F.col("arc2")))
-
-
-def routed(legs: DataFrame, segments: DataFrame, restrictions: DataFrame, params: DecodeParams) -> DataFrame:
-    """Adds between (segments driven between both, null for none), leg_m and fits."""
-    turns = settled(network.turns(segments, restrictions))
-    ask = legs.where("not same").select(F.col("seg1").alias("from_seg"), F.col("exit1").alias("node"), F.col("entry2").alias("goal"), "lfrcnp", (F.col("dnp_ub") * params.max_path_search_factor).alias("max_dist"))
-    key = F.xxhash64("from_seg", "node", "goal", "lfrcnp", "max_dist")
-    ask = settled(ask.distinct().withColumn("req_id", key).withColumn("cap", F.lit(params.max_interior_turn_deviation_deg)))
-    found = routing.shortest_paths(ask, turns)
-    asked = F.xxhash64(F.col("seg1"), F.col("exit1"), F.col("entry2"), F.col("lfrcnp"), F.col("dnp_ub") * params.max_path_search_factor)
-    out = legs.withColumn("req_id", F.when(~F.col("same"), asked)).join(found.select("req_id", F.col("length_m").alias("way_m"), F.col("path").alias("way")), "req_id", "left")
-    between = F.when(F.col("same"), F.array().cast("array<bigint>")).otherwise(F.filter("way", lambda s: s != F.col("seg1")))
-    between = F.when((F.size(between) > 0) & (F.element_at(F.concat(between, F.array("seg2")), -2) == F.col("seg2")), F.slice(between, F.lit(1), F.size(between) - 1)).otherwise(between)
-    rest, lead = F.greatest(F.col("len1") - F.col("arc1"), F.lit(0.0)), F.greatest(F.least("arc2", "len2"), F.lit(0.0))
-    out = out.withColumn("between", between).withColumn("leg_m", F.when(F.col("same"), F.col("arc2") - F.col("arc1")).otherwise(rest + F.col("way_m") + lead))
-    return out.withColumn("fits", F.coalesce(routing.dnp_ok(F.col("leg_m"), F.col("dnp_lb"), F.col("dnp_ub"), params.dnp_tolerance_pct), F.lit(False)))
-
-
-def turned(legs: DataFrame, segments: DataFrame, params: DecodeParams) -> DataFrame:
-    """Adds ok and part (what the leg adds to the path): its window, and the turn into it from what was driven last."""
-    w = Window.partitionBy("ref_id", "place").orderBy("leg")
-    driven = F.coalesce(F.element_at(F.when(F.size("between") > 0, F.col("between")), -1), F.col("seg1"))
-    t = legs.withColumn("walked", F.lag(driven).over(w))
-    away = network.bearings_away(segments)
-    t = t.join(away.select(F.col("segment_id").alias("walked"), F.col("node").alias("entry1"), F.col("bearing").alias("b_in")), ["walked", "entry1"], "left").join(away.select(F.col("segment_id").alias("seg1"), F.col("node").alias("entry1"), F.col("bearing").alias("b_out")), ["seg1", "entry1"], "left")
-    sharp = (F.col("leg") > 0) & ~F.col("same") & (F.col("walked") != F.col("seg1")) & F.coalesce(network.deviation(F.col("b_in"), F.col("b_out")) > params.max_interior_turn_deviation_deg, F.lit(False))
-    head = F.when(F.col("leg") == 0, F.array("seg1")).otherwise(F.array().cast("array<bigint>"))
-    tail = F.when(F.coalesce(F.size("between"), F.lit(0)) + F.when(F.col("seg1") != F.col("seg2"), 1).otherwise(0) > 0, F.array("seg2")).otherwise(F.array().cast("array<bigint>"))
-    part = F.concat(head, F.coalesce("between", F.array().cast("array<bigint>")), tail)
-    twice = F.exists(F.sequence(F.lit(1), F.greatest(F.size(part), F.lit(1))), lambda i: F.coalesce(F.get(part, i) == F.get(part, i - 1), F.lit(False)))
-    return t.withColumn("part", part).withColumn("ok", F.col("fits") & ~F.coalesce(sharp, F.lit(False)) & ~twice)
+    return exact.results(exact.decode_log(lrps, segments, restrictions, replace(params, trace_level="Off"), forced))

@@ -11,36 +11,38 @@ from waymark.plans.tables import settled
 DNP_MISSING = (0.0, 15_000.0)
 
 
-def shortest_paths(requests: DataFrame, turns: DataFrame, rounds: int = 10_000) -> DataFrame:
+def shortest_paths(requests: DataFrame, turns: DataFrame) -> DataFrame:
     """req_id, length_m, path: the shortest way on from a segment's end to a node, the start segment not driven again.
 
     requests: req_id, from_seg, node (where the search starts), goal, lfrcnp, max_dist, cap. A frontier of arcs is relaxed round
-    by round with one join against the turns; of the ways to one arc the shortest stays, ways longer than one that has reached
-    the goal are dropped, and equal lengths are settled by the path. A node that is its own goal is reached at once.
+    by round with one join against the turns, for all requests at once; of the ways to one arc the shortest stays, ways longer
+    than one that has reached the goal are dropped, and equal lengths are settled by the path. What is known is one table, rewritten
+    each round for the requests that are still open, so plans don't grow with the rounds; it ends when no arc improves. A node that
+    is its own goal is reached at once. (exact.routed() searches towards the goal instead, a block of the map in one task.)
     """
     r = requests.select("req_id", "from_seg", "node", "goal", "lfrcnp", "max_dist", "cap")
     state = r.select("req_id", "node", F.col("from_seg").alias("via"), F.lit(0.0).alias("g"), F.array().cast("array<bigint>").alias("path"))
-    frontier, known, reached = state, state, state.join(r.where("node = goal").select("req_id"), "req_id", "left_semi").select("req_id", "g", "path")
+    frontier, known, reached = state, state.drop("path"), state.join(r.where("node = goal").select("req_id"), "req_id", "left_semi").select("req_id", "g", "path")
     frontier = frontier.join(reached.select("req_id"), "req_id", "left_anti")
     ask = r.drop("node")
     onward = turns.withColumnRenamed("from_seg", "via").withColumnRenamed("via_node", "node")
-    for _ in range(rounds):
+    while True:
         step = frontier.join(ask, "req_id").join(onward, ["node", "via"])
         sharp = (F.col("cap") < 180) & F.coalesce(F.col("deviation_deg") > F.col("cap"), F.lit(False))
         step = step.where((F.col("to_frc") <= F.col("lfrcnp")) & ~F.col("restricted") & ~sharp & (F.col("g") + F.col("to_len") <= F.col("max_dist")))
         step = step.select("req_id", F.col("to_head").alias("node"), F.col("to_seg").alias("via"), (F.col("g") + F.col("to_len")).alias("g"), F.concat("path", F.array("to_seg")).alias("path"), "goal", "from_seg")
         step = step.groupBy("req_id", "node", "via", "goal", "from_seg").agg(F.min(F.struct("g", "path")).alias("b")).select("req_id", "node", "via", "goal", "from_seg", "b.*")
-        old = known.groupBy("req_id", "node", "via").agg(F.min("g").alias("had"))
-        step = step.join(old, ["req_id", "node", "via"], "left").where("had is null or g < had")
-        best = reached.groupBy("req_id").agg(F.min("g").alias("best"))
+        step = step.join(known.withColumnRenamed("g", "had"), ["req_id", "node", "via"], "left").where("had is null or g < had")
+        best = reached.select("req_id", F.col("g").alias("best"))
         step = settled(step.join(best, "req_id", "left").where("best is null or g < best").drop("had", "best"))
         if step.isEmpty():
-            break
+            return reached.select("req_id", F.col("g").alias("length_m"), "path")
         at_goal = step.where("node = goal and via != from_seg").select("req_id", "g", "path")
         reached = settled(reached.unionByName(at_goal).groupBy("req_id").agg(F.min(F.struct("g", "path")).alias("b")).select("req_id", "b.*"))
         frontier = step.where("not (node = goal and via != from_seg)").select("req_id", "node", "via", "g", "path")
-        known = known.unionByName(step.select("req_id", "node", "via", "g", "path"))
-    return reached.select("req_id", F.col("g").alias("length_m"), "path")
+        still = frontier.select("req_id").distinct()
+        known = known.join(still, "req_id", "left_semi").unionByName(step.select("req_id", "node", "via", "g"))
+        known = settled(known.groupBy("req_id", "node", "via").agg(F.min("g").alias("g")))
 
 
 def combinations(ranked: DataFrame, most: int) -> DataFrame:

@@ -34,13 +34,13 @@ def requests(spark, sf):
 @query(
     "r12_shortest_path",
     "WITH RECURSIVE " + net(
-        """SELECT req_id, round(min(g), 6) AS length_m FROM (SELECT r.req_id, w.g, w.node, w.via, r.goal, r.from_seg FROM requests r JOIN ways w USING (from_seg)) WHERE node = goal AND (via <> from_seg OR g = 0) GROUP BY req_id""",
+        """SELECT req_id, round(min(g), 6) AS length_m, array_to_string(arg_min(path, (g, path)), ',') AS path FROM (SELECT r.req_id, w.g, w.path, w.node, w.via, r.goal, r.from_seg FROM requests r JOIN ways w USING (from_seg)) WHERE node = goal AND (via <> from_seg OR g = 0) GROUP BY req_id""",
         TURNS, WALKS, WALK_ENDS, "firsts AS (SELECT DISTINCT from_seg, node FROM requests)",
-        f"ways AS (SELECT from_seg, node, from_seg AS via, 0.0::DOUBLE AS g FROM firsts UNION ALL SELECT w.from_seg, t.to_head, t.to_seg, w.g+t.to_len FROM ways w JOIN turns t ON t.via_node=w.node AND t.from_seg=w.via WHERE t.to_frc <= {LFRCNP} AND NOT t.restricted AND t.deviation_deg <= {CAP} AND w.g+t.to_len <= {FAR})",
+        f"ways AS (SELECT from_seg, node, from_seg AS via, 0.0::DOUBLE AS g, []::BIGINT[] AS path FROM firsts UNION ALL SELECT w.from_seg, t.to_head, t.to_seg, w.g+t.to_len, list_append(w.path, t.to_seg) FROM ways w JOIN turns t ON t.via_node=w.node AND t.from_seg=w.via WHERE t.to_frc <= {LFRCNP} AND NOT t.restricted AND t.deviation_deg <= {CAP} AND w.g+t.to_len <= {FAR})",
     )[5:],
 )
 def r12_shortest_path(spark, sf):
-    return routing.shortest_paths(requests(spark, sf), settled(turn_table(spark, sf))).select("req_id", R6(F.col("length_m")).alias("length_m"))
+    return routing.shortest_paths(requests(spark, sf), settled(turn_table(spark, sf))).select("req_id", R6(F.col("length_m")).alias("length_m"), F.array_join(F.transform("path", lambda s: s.cast("string")), ",").alias("path"))
 
 
 @query("r1_combinations", over("SELECT ref_id, score, CAST(place AS INTEGER) AS place FROM (SELECT a.lrp_id//2 AS ref_id, round(a.total+b.total, 6) AS score, row_number() OVER (PARTITION BY a.lrp_id//2 ORDER BY a.total+b.total, a.rank, b.rank) AS place FROM ranked a JOIN ranked b ON b.lrp_id=a.lrp_id+1 AND a.lrp_id%2=0) WHERE place <= 10"))
