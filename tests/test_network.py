@@ -1,5 +1,8 @@
 """Small graphs: intervals, turns, validity, candidates, shortest paths, trims."""
 
+import json
+from dataclasses import asdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,7 +122,12 @@ def test_expansion(spark):
 
 def test_params():
     assert resolve(None) is DEFAULT and resolve("Permissive") is PERMISSIVE
-    assert resolve('{"max_candidates_per_lrp": 3}').max_candidates_per_lrp == 3
+    given = asdict(DEFAULT) | {"max_candidates_per_lrp": 3}
+    for left_out in ("max_routing_attempts", "max_candidate_score"):
+        del given[left_out]
+    assert resolve(json.dumps(given)).max_candidates_per_lrp == 3
+    with pytest.raises(ValueError, match="missing"):
+        resolve('{"max_candidates_per_lrp": 3}')
     assert DEFAULT.frc_penalty_table[2][5] == 0.45
     with pytest.raises(ValueError, match="unknown"):
         merged(DEFAULT, {"nope": 1})

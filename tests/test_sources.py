@@ -66,6 +66,12 @@ def test_archive(spark, archive):
     got = {r["tile_id"]: r for r in tiles.read_archive(spark, archive).collect()}
     assert bytes(got[5]["data"]) == FIRST and bytes(got[6]["data"]) == SECOND
     assert [r["tile_id"] for r in tiles.read_archive(spark, archive, [6]).collect()] == [6]
+    assert tiles.read_archive(spark, archive, []).count() == 0
+    z, x, y = got[5]["z"], got[5]["x"], got[5]["y"]
+    spot = spark.range(1).select((geo.tile_west(F.lit(x + 0.5), z)).alias("lon"), geo.tile_north(F.lit(y + 0.5), z).alias("lat"))
+    found, status = tiles.load_near(spark, archive, spot, z)
+    said = {r["tile_id"]: r["status"] for r in status.collect()}
+    assert said[5] == "loaded" and {r["tile_id"] for r in found.collect()} == {t for t, s in said.items() if s == "loaded"} and "empty" in said.values()
     for r in got.values():
         assert spark.range(1).select(geo.hilbert_id(r["z"], F.lit(r["x"]), F.lit(r["y"])).alias("d")).first()["d"] == r["tile_id"]
 

@@ -24,6 +24,14 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(s * s + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * t * t))
 
 
+def haversine_atan2_m(lon1, lat1, lon2, lat2) -> Column:
+    """The same distance by the other inverse, which keeps its digits for points opposite each other."""
+    lon1, lat1, lon2, lat2 = map(_c, (lon1, lat1, lon2, lat2))
+    s, t = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
+    h = s * s + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * t * t
+    return 2 * EARTH_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+
+
 def bearing_deg(lon1, lat1, lon2, lat2) -> Column:
     """Initial bearing, clockwise from north, in [0, 360)."""
     lon1, lat1, lon2, lat2 = map(_c, (lon1, lat1, lon2, lat2))

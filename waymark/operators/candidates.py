@@ -64,6 +64,10 @@ def evaluated(points: DataFrame, segments: DataFrame, params: DecodeParams = DEF
     first, last = F.element_at(g, 1), F.element_at(g, -1)
     spot = lambda f, inner: F.when(F.col("snap_type") == "Entry", first[f]).when(F.col("snap_type") == "Exit", last[f]).otherwise(F.col(inner))
     d = d.withColumn("snap_lon", spot("lon", "px")).withColumn("snap_lat", spot("lat", "py"))
+    # the first cell in which a walk over the search window meets the road
+    window = params.candidate_search_radius_m / 111_000.0 + 1 / CELL
+    met = lambda axis: F.greatest(F.floor((F.col(axis) - window) * CELL), F.floor(F.array_min(F.transform(g, lambda v: v[axis])) * CELL))
+    d = d.withColumn("visit_x", met("lon")).withColumn("visit_y", met("lat"))
     d = geo.with_bearing(d, "geometry", F.col("snap_arc"), ~F.col("is_last"), "snap_bearing").drop("geometry")
     d = d.withColumn("snap_distance", F.when(F.col("snap_type") == "Interior", F.col("distance_m")).otherwise(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("snap_lon"), F.col("snap_lat"))))
     d = d.withColumn("excess_deg", intervals.circular_excess(F.col("bearing_lb"), F.col("bearing_ub"), F.col("snap_bearing")))
@@ -79,7 +83,7 @@ def evaluated(points: DataFrame, segments: DataFrame, params: DecodeParams = DEF
     return d.withColumn("total", total).withColumn("verdict", verdict).withColumn("exit_node", F.when(F.col("traversal") == "Forward", F.col("end_node")).otherwise(F.col("start_node"))).withColumn("entry_node", F.when(F.col("traversal") == "Forward", F.col("start_node")).otherwise(F.col("end_node")))
 
 
-CANDIDATE = ("snap_type", "snap_arc", "snap_lon", "snap_lat", "snap_distance", "snap_bearing", "excess_deg", "distance_score", "bearing_score", "frc_score", "fow_score", "interior_score", "wrong_endpoint_score", "total", "seg_length", "entry_node", "exit_node", "seg_frc", "seg_fow")
+CANDIDATE = ("snap_type", "snap_arc", "snap_lon", "snap_lat", "snap_distance", "snap_bearing", "excess_deg", "distance_score", "bearing_score", "frc_score", "fow_score", "interior_score", "wrong_endpoint_score", "total", "seg_length", "entry_node", "exit_node", "seg_frc", "seg_fow", "visit_x", "visit_y")
 
 
 def best_snaps(all_snaps: DataFrame) -> DataFrame:
@@ -97,8 +101,8 @@ def rejected(all_snaps: DataFrame) -> DataFrame:
 
 
 def ranked(candidates: DataFrame, most: int = DEFAULT.max_candidates_per_lrp) -> DataFrame:
-    """rank from 1, least total first; equal totals by segment, forward first. 0 keeps all."""
-    order = Window.partitionBy("lrp_id").orderBy("total", "segment_id", F.col("traversal").desc())
+    """rank from 1, least total first; equal totals by the cell they were met in, the segment, forward first. 0 keeps all."""
+    order = Window.partitionBy("lrp_id").orderBy("total", "visit_x", "visit_y", "segment_id", F.col("traversal").desc())
     r = candidates.withColumn("rank", F.row_number().over(order))
     return r.where(F.col("rank") <= most) if most else r
 

@@ -171,3 +171,28 @@ def routed(asks: DataFrame, segments: DataFrame, restrictions: DataFrame, cap: f
     refs = asks.select("ref_id", "lon0", "lat0", "lon1", "lat1", F.col("max_dist").alias("reach_m"), F.to_json(F.struct("from_seg", "node", "goal", "lfrcnp", "max_dist")).alias("payload"))
     return on_network(refs, segments, restrictions, ask, "length_m double, path array<bigint>, pops int, reason string")
 
+
+
+def expanded_ends(ends: DataFrame, segments: DataFrame, restrictions: DataFrame, budget: float, cap: float) -> DataFrame:
+    """ref_id, side, node, hops, metres, stop: both ends of paths moved out to valid nodes. ends: ref_id, at_end, node, via, lon, lat."""
+
+    def walk(net: kernel.Net, r: dict) -> Iterator[tuple]:
+        e = kernel.expanded(net, r["node"], r["via"], r["at_end"], budget, cap)
+        yield "end" if r["at_end"] else "start", e.node, len(e.segments), e.metres, e.stop
+
+    refs = ends.select("ref_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lit(float(budget)).alias("reach_m"), F.to_json(F.struct("node", "via", "at_end")).alias("payload"))
+    return on_network(refs, segments, restrictions, walk, "side string, node bigint, hops int, metres double, stop string")
+
+
+def traced_ends(paths: DataFrame, segments: DataFrame, restrictions: DataFrame) -> DataFrame:
+    """ref_id, node, error_code, at: where paths end, or the first segment that doesn't connect or may not be driven that way. paths:
+    ref_id, path, start_node, lon0, lat0, lon1, lat1."""
+
+    def trace(net: kernel.Net, r: dict) -> Iterator[tuple]:
+        try:
+            yield kernel.end_of(net, r["start_node"], r["path"], strict=True), None, None
+        except kernel.CannotEncode as e:
+            yield None, *e.args
+
+    refs = paths.select("ref_id", "lon0", "lat0", "lon1", "lat1", F.lit(500.0).alias("reach_m"), F.to_json(F.struct("start_node", "path")).alias("payload"))
+    return on_network(refs, segments, restrictions, trace, "node bigint, error_code string, at int")

@@ -69,6 +69,36 @@ def offset_interval(raw: Column, exact_lb: Column, exact_ub: Column, leg: Column
     return F.coalesce(raw / 256.0 * leg, exact_lb), F.coalesce((raw + 1) / 256.0 * leg, exact_ub)
 
 
+def approximate_offset(raw: Column, exact: Column, dnp_lb: Column, dnp_ub: Column) -> tuple[Column, Column]:
+    """Bounds where no leg was found: a raw byte's share of the leg's own window, else the exact value, else none."""
+    zero = F.lit(0.0)
+    return F.coalesce(raw / 256.0 * dnp_lb, exact, zero), F.coalesce((raw + 1) / 256.0 * dnp_ub, exact, zero)
+
+
+def beyond_leg(pos: Column, neg: Column, first_leg: Column, last_leg: Column) -> Column:
+    """'first' or 'last' where an offset isn't within its leg, else null."""
+    return F.when((pos > 0) & (pos >= first_leg), "first").when((neg > 0) & (neg >= last_leg), "last")
+
+
+def forced_prefix(path: DataFrame, validity: DataFrame) -> DataFrame:
+    """ref_id, hops: until the first node with a choice, or the end. path: ref_id, step (from 0), node (where the segment ends)."""
+    p = path.join(validity.select("node", "is_valid"), "node", "left")
+    first = F.min(F.when(F.coalesce("is_valid", F.lit(True)), F.col("step") + 1))
+    return p.groupBy("ref_id").agg(F.coalesce(first, F.max("step") + 1).alias("hops"))
+
+
+def traversals(path: DataFrame, segments: DataFrame) -> DataFrame:
+    """ref_id, step, segment_id, traversal from the nodes that neighbours share; a path of one segment counts as Forward."""
+    p = path.select("ref_id", "step", "segment_id").join(segments.select("segment_id", "start_node", "end_node"), "segment_id")
+    w = Window.partitionBy("ref_id").orderBy("step")
+    near = lambda f: [f(c).over(w).alias(f"{f.__name__}_{c}") for c in ("start_node", "end_node")]
+    p = p.select("*", *near(F.lag), *near(F.lead))
+    enters = F.col("start_node").isin(F.col("lag_start_node"), F.col("lag_end_node"))
+    leaves = F.col("end_node").isin(F.col("lead_start_node"), F.col("lead_end_node"))
+    ahead = F.coalesce(enters, leaves, F.lit(True))
+    return p.select("ref_id", "step", "segment_id", F.when(ahead, "Forward").otherwise("Backward").alias("traversal"))
+
+
 def running(path: DataFrame) -> DataFrame:
     """path: ref_id, step, segment_id, length_m. Adds before and upto, the metres of the path before and with each segment."""
     upto = F.sum("length_m").over(Window.partitionBy("ref_id").orderBy("step"))

@@ -35,6 +35,7 @@ ds AS (SELECT *, {hav("lon", "lat", at("ta", "x", "0", "m"), at("ta", "y", "0",
 near AS (SELECT *, l1+l2 AS len, CASE WHEN db < da THEN l1+tb*l2 ELSE ta*l1 END AS arc, CASE WHEN db < da THEN {at("tb", "x", "m", "1")} ELSE {at("ta", "x", "0", "m")} END AS px, CASE WHEN db < da THEN {at("tb", "y", "m", "1")} ELSE {at("ta", "y", "0", "m")} END AS py, least(da, db) AS d FROM ds WHERE least(da, db) <= 30.0)
 """
 FLIP = ", ".join(f"CASE WHEN w.traversal='Backward' THEN {b} ELSE {a} END AS o{a}" for a, b in (("x0", "x1"), ("y0", "y1"), ("xm", "xm"), ("ym", "ym"), ("x1", "x0"), ("y1", "y0"), ("l1", "l2"), ("l2", "l1")))
+WINDOW = "(30.0::DOUBLE/111000.0::DOUBLE + 1.0::DOUBLE/500.0::DOUBLE)"
 WAYS = f"""
 ways AS (SELECT 'Forward' AS traversal UNION ALL SELECT 'Backward'),
 dirs AS (SELECT n.* EXCLUDE (arc), w.traversal, CASE WHEN w.traversal='Backward' THEN greatest(len-arc,0.0) ELSE arc END AS arc, {FLIP} FROM near n JOIN ways w ON n.direction IN ('Both', w.traversal)),
@@ -50,7 +51,7 @@ scored AS (SELECT *, 0.5*(snap_distance/30.0) AS distance_score, 0.3*(excess_deg
 totals AS (SELECT *, distance_score+bearing_score+frc_score+fow_score+interior_score+wrong_endpoint_score AS total FROM scored),
 judged AS (SELECT *, CASE WHEN excess_deg > 45.0 THEN 'FailBearing' WHEN total > 1.5 THEN 'FailScore' ELSE 'Pass' END AS verdict FROM totals),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lrp_id, segment_id, traversal ORDER BY total, snap_order) AS k FROM judged WHERE verdict='Pass') WHERE k = 1),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lrp_id ORDER BY total, segment_id, traversal DESC) AS rank FROM best) WHERE rank <= 8)
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lrp_id ORDER BY total, greatest(floor((lon-{WINDOW})*500.0), floor(least(x0,xm,x1)*500.0)), greatest(floor((lat-{WINDOW})*500.0), floor(least(y0,ym,y1)*500.0)), segment_id, traversal DESC) AS rank FROM best) WHERE rank <= 8)
 """
 
 

@@ -59,10 +59,11 @@ def s1_detect_format(spark, sf):
     return detect(vectors(spark), "ref").select("vec_id", "format")
 
 
-@query("s2_base64_heuristic", "SELECT doc_id, (regexp_full_match(s, '[A-Za-z0-9_-]*') AND length(s) % 4 = 0) OR regexp_matches(s, '[+/=]') AS looks FROM (SELECT doc_id, split_part(text, ' ', 1) AS s FROM documents)")
+@query("s2_base64_heuristic", "SELECT doc_id, count(*) AS n_words, count(*) FILTER ((regexp_full_match(s, '[A-Za-z0-9_-]*') AND length(s) % 4 = 0) OR regexp_matches(s, '[+/=]')) AS n_look FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS s FROM documents) GROUP BY doc_id")
 def s2_base64_heuristic(spark, sf):
-    s = F.split_part("text", F.lit(" "), F.lit(1))
-    return fx.table(spark, sf, "documents").select("doc_id", looks_base64(s).alias("looks"))
+    """How many of a text's words would be tried as base64."""
+    w = fx.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("s"))
+    return w.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count(F.when(looks_base64(F.col("s")), 1)).alias("n_look"))
 
 
 # lines from walks: each walk's ends as two points

@@ -229,3 +229,52 @@ def r9_find_route(spark, sf):
     )
     return exact.routed(asks, *map_of(spark, sf), CAP).select("ref_id", R6(F.col("length_m")).alias("length_m"))
 
+
+
+VALID = "valid AS (SELECT node, count(*) <> 2 OR max(k) > 1 AS ok FROM (SELECT node, other, count(*) AS k FROM (SELECT start_node AS node, end_node AS other FROM segments UNION ALL SELECT end_node, start_node FROM segments) GROUP BY ALL) GROUP BY node)"
+TOUCH = "touch AS (SELECT start_node AS node, end_node AS other, segment_id, length_m, direction <> 'Backward' AS out_ok, direction <> 'Forward' AS in_ok FROM segments UNION ALL SELECT end_node, start_node, segment_id, length_m, direction <> 'Forward', direction <> 'Backward' FROM segments)"
+ENDS = "path_ends AS (SELECT ref_id, 'start' AS side, arg_min(w.start_node, step) AS node, arg_min(segment_id, step) AS via FROM walks w GROUP BY ref_id UNION ALL SELECT ref_id, 'end', arg_max(s.end_node, step), arg_max(segment_id, step) FROM walks JOIN segments s USING (segment_id) GROUP BY ref_id)"
+TURN = "CASE WHEN abs(i.b-o.b) > 180 THEN 360.0 - abs(i.b-o.b) ELSE abs(i.b-o.b) END"
+EXPANDED = f"""
+moved AS (SELECT e.ref_id, e.side, e.node, e.via, 0 AS hops, 0.0::DOUBLE AS metres, CASE WHEN v.ok THEN 'AlreadyValid' END AS stop FROM path_ends e JOIN valid v USING (node)
+  UNION ALL SELECT ref_id, side, CASE WHEN w IS NULL THEN other ELSE node END, CASE WHEN w IS NULL THEN segment_id ELSE via END, CASE WHEN w IS NULL THEN hops+1 ELSE hops END, CASE WHEN w IS NULL THEN metres+length_m ELSE metres END,
+    coalesce(w, CASE WHEN ok THEN 'ReachedValidNode' END) FROM (SELECT m.*, t.other, t.segment_id, t.length_m, v.ok, CASE WHEN NOT CASE WHEN m.side = 'end' THEN t.out_ok ELSE t.in_ok END THEN 'WrongDirection' WHEN m.metres+t.length_m > 700.0 THEN 'BudgetExhausted' WHEN 180.0-({TURN}) > 150.0 THEN 'SharpTurn' END AS w
+    FROM moved m JOIN touch t ON t.node = m.node AND t.segment_id <> m.via JOIN valid v ON v.node = t.other LEFT JOIN away i ON i.segment_id = m.via AND i.node = m.node LEFT JOIN away o ON o.segment_id = t.segment_id AND o.node = m.node WHERE m.stop IS NULL))
+"""
+
+
+@query("e3_expand_to_valid", "WITH RECURSIVE " + net("SELECT ref_id, side, node, CAST(hops AS INTEGER) AS hops, round(metres, 6) AS metres, stop FROM moved WHERE stop IS NOT NULL", WALKS, VALID, TOUCH, ENDS, EXPANDED)[5:])
+def e3_expand_to_valid(spark, sf):
+    """Both ends of every walk, moved out to nodes with a choice."""
+    s = fx.segments(spark, sf).select("segment_id", "end_node", F.element_at("geometry", 1).alias("a"), F.element_at("geometry", -1).alias("b"))
+    w = fx.walks(spark, sf).join(s, "segment_id").groupBy("ref_id").agg(F.min_by(F.struct("start_node", "segment_id", "a"), "step").alias("f"), F.max_by(F.struct("end_node", "segment_id", "b"), "step").alias("l"))
+    side = lambda at_end, c, node, xy: F.struct(F.lit(at_end).alias("at_end"), F.col(f"{c}.{node}").alias("node"), F.col(f"{c}.segment_id").alias("via"), F.col(f"{c}.{xy}.lon").alias("lon"), F.col(f"{c}.{xy}.lat").alias("lat"))
+    ends = w.select("ref_id", F.explode(F.array(side(False, "f", "start_node", "a"), side(True, "l", "end_node", "b"))).alias("e")).select("ref_id", "e.*")
+    return exact.expanded_ends(ends, *map_of(spark, sf), 700.0, CAP).withColumn("metres", R6("metres"))
+
+
+BROKEN = """
+whole AS (SELECT ref_id, list(segment_id ORDER BY step) AS p, arg_min(w.start_node, step) AS first, arg_max(s.end_node, step) AS last, list(s.direction ORDER BY step DESC) AS back FROM walks w JOIN segments s USING (segment_id) GROUP BY ref_id)
+"""
+
+
+@query(
+    "e9_trace_end",
+    net(
+        """SELECT ref_id, CASE WHEN code IS NULL THEN node END AS node, code AS error_code, CAST(k AS INTEGER) AS at FROM (
+        SELECT ref_id, last AS node, NULL AS code, NULL::BIGINT AS k FROM whole WHERE ref_id % 3 = 0
+        UNION ALL SELECT ref_id, first, CASE WHEN list_contains(back, 'Forward') THEN 'IllegalDirection' END, CASE WHEN list_contains(back, 'Forward') THEN list_position(back, 'Forward') - 1 END FROM whole WHERE ref_id % 3 = 1
+        UNION ALL SELECT w.ref_id, s.end_node, CASE WHEN len(p) > 2 THEN 'Disconnected' END, CASE WHEN len(p) > 2 THEN 1 END FROM whole w JOIN segments s ON s.segment_id = p[1] WHERE w.ref_id % 3 = 2)""",
+        WALKS, BROKEN,
+    ),
+)
+def e9_trace_end(spark, sf):
+    """Where walks end; a third of them turned round, a third without their second segment."""
+    s = fx.segments(spark, sf).select("segment_id", "end_node", F.element_at("geometry", 1).alias("a"), F.element_at("geometry", -1).alias("b"))
+    w = fx.walks(spark, sf).join(s, "segment_id").groupBy("ref_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("step", "segment_id"))), lambda x: x["segment_id"]).alias("p"), F.min_by("start_node", "step").alias("first"), F.max_by("end_node", "step").alias("last"),
+        F.min("a.lon").alias("lon0"), F.min("a.lat").alias("lat0"), F.max("b.lon").alias("lon1"), F.max("b.lat").alias("lat1"),
+    )
+    k = F.col("ref_id") % 3
+    broken = F.when(k == 0, F.col("p")).when(k == 1, F.reverse("p")).otherwise(F.filter("p", lambda _, i: i != 1))
+    return exact.traced_ends(w.select("ref_id", broken.alias("path"), F.when(k == 1, F.col("last")).otherwise(F.col("first")).alias("start_node"), "lon0", "lat0", "lon1", "lat1"), *map_of(spark, sf))

@@ -231,19 +231,19 @@ def g11_destination(spark, sf):
 C = dest("lon", "lat", "bearing_lb+11.25/2-11.25/2+11.25*k/48", "100.0")
 
 
-@query("g12_bearing_cone", net(f"SELECT lrp_id, round({C[0]}, 6) AS lon, round({C[1]}, 6) AS lat, k FROM points, (SELECT unnest(generate_series(0,48)) AS k) WHERE lrp_id % 20 = 0", POINTS))
+@query("g12_bearing_cone", net(f"SELECT lrp_id, round({C[0]}, 6) AS lon, round({C[1]}, 6) AS lat, k FROM points, (SELECT unnest(generate_series(0,48)) AS k)", POINTS))
 def g12_bearing_cone(spark, sf):
     ring = geo.cone_polygon(F.col("lon"), F.col("lat"), F.col("bearing_lb"), F.col("bearing_ub"), 100.0)
-    rows = fx.points(spark, sf).where("lrp_id % 20 = 0").select("lrp_id", F.posexplode(F.slice(ring, 2, 49)).alias("k", "p"))
+    rows = fx.points(spark, sf).select("lrp_id", F.posexplode(F.slice(ring, 2, 49)).alias("k", "p"))
     return rows.select("lrp_id", R6(F.col("p.lon")).alias("lon"), R6(F.col("p.lat")).alias("lat"), F.col("k").cast("long").alias("k"))
 
 
 K = dest("lon", "lat", "k*5.625", "30.0")
 
 
-@query("g13_radius_circle", net(f"SELECT lrp_id, round({K[0]}, 6) AS lon, round({K[1]}, 6) AS lat, k FROM points, (SELECT unnest(generate_series(0,64)) AS k) WHERE lrp_id % 20 = 0", POINTS))
+@query("g13_radius_circle", net(f"SELECT lrp_id, round({K[0]}, 6) AS lon, round({K[1]}, 6) AS lat, k FROM points, (SELECT unnest(generate_series(0,64)) AS k)", POINTS))
 def g13_radius_circle(spark, sf):
-    rows = fx.points(spark, sf).where("lrp_id % 20 = 0").select("lrp_id", F.posexplode(geo.circle_polygon(F.col("lon"), F.col("lat"), 30.0)).alias("k", "p"))
+    rows = fx.points(spark, sf).select("lrp_id", F.posexplode(geo.circle_polygon(F.col("lon"), F.col("lat"), 30.0)).alias("k", "p"))
     return rows.select("lrp_id", R6(F.col("p.lon")).alias("lon"), R6(F.col("p.lat")).alias("lat"), F.col("k").cast("long").alias("k"))
 
 
@@ -263,7 +263,16 @@ def g18_intervals(spark, sf):
     return fx.points(spark, sf).select("lrp_id", intervals.circular_contains(lb, ub, v).alias("inside"), R6(intervals.circular_excess(lb, ub, v)).alias("excess"), intervals.linear_excess(F.lit(100.0), F.lit(200.0), m).alias("linear_excess"), intervals.linear_contains(F.lit(100.0), F.lit(200.0), m).alias("linear_inside"))
 
 
-@query("s7_hilbert_id")
+HILBERT = f"""
+distinct_tiles AS (SELECT DISTINCT {TX('lon')} AS x, {TY('lat')} AS y FROM points),
+curve AS (SELECT x, y, x AS u, y AS v, 0::BIGINT AS d, {Z - 1} AS level FROM distinct_tiles UNION ALL
+  SELECT x, y, CASE WHEN ry = 0 THEN fv ELSE fu END, CASE WHEN ry = 0 THEN fu ELSE fv END, d + side*side*xor(3*rx, ry), level-1 FROM (
+    SELECT *, CASE WHEN ry = 0 AND rx = 1 THEN side-1-(u & (side-1)) ELSE u & (side-1) END AS fu, CASE WHEN ry = 0 AND rx = 1 THEN side-1-(v & (side-1)) ELSE v & (side-1) END AS fv FROM (
+      SELECT *, CASE WHEN u & side > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN v & side > 0 THEN 1 ELSE 0 END AS ry FROM (SELECT *, (1::BIGINT << level) AS side FROM curve WHERE level >= 0))))
+"""
+
+
+@query("s7_hilbert_id", "WITH RECURSIVE " + net(f"SELECT x, y, CAST(d + {sum(4**k for k in range(Z))} AS BIGINT) AS tile_id FROM curve WHERE level < 0", POINTS, HILBERT)[5:])
 def s7_hilbert_id(spark, sf):
     t = g7_tile_of_point(spark, sf).select("x", "y").distinct()
     return t.select("x", "y", geo.hilbert_id(Z, F.col("x"), F.col("y")).alias("tile_id"))

@@ -56,11 +56,20 @@ STRICT = replace(
 PRESETS = {"Default": DEFAULT, "Permissive": PERMISSIVE, "Strict": STRICT}
 
 
+#: Fields that a JSON object may leave out.
+OPTIONAL = frozenset({"max_bearing_deviation_deg", "max_candidate_score", "max_interior_turn_deviation_deg", "max_routing_attempts"})
+
+
 def resolve(text: str | None) -> DecodeParams:
-    """Nothing, a preset's name, or a JSON object of all fields but those with defaults."""
+    """Nothing, a preset's name, or a JSON object of all fields but the optional ones."""
     if not text or text in ("null", "Default"):
         return DEFAULT
-    return PRESETS[text] if text in PRESETS else merged(DEFAULT, json.loads(text))
+    if text in PRESETS:
+        return PRESETS[text]
+    given = json.loads(text)
+    if missing := {f.name for f in fields(DecodeParams)} - OPTIONAL - set(given):
+        raise ValueError(f"missing parameters: {sorted(missing)}")
+    return merged(DEFAULT, given)
 
 
 def merged(params: DecodeParams, overlay: dict) -> DecodeParams:

@@ -101,12 +101,6 @@ def o1_path_wkt(spark, sf):
     return routing.path_vertices(fx.walks(spark, sf), fx.segments(spark, sf)).select("ref_id", routing.wkt(F.col("geometry")).alias("wkt"))
 
 
-@query("s18_path_geojson")
-def s18_path_geojson(spark, sf):
-    v = routing.path_vertices(fx.walks(spark, sf), fx.segments(spark, sf))
-    return v.select("ref_id", routing.geojson(F.col("geometry"), F.struct("ref_id")).alias("feature"))
-
-
 @query("o6_point_at_distance", net(f"SELECT ref_id, round({along('', '100.0', 'x')}, 6) AS lon, round({along('', '100.0', 'y')}, 6) AS lat FROM walks JOIN segments USING (segment_id) WHERE step = 0", WALKS))
 def o6_point_at_distance(spark, sf):
     p = routing.at_distance(routing.path_vertices(fx.walks(spark, sf), fx.segments(spark, sf)), F.lit(100.0))
@@ -127,14 +121,6 @@ def e12_last_bearing(spark, sf):
     return last.join(network.bearings_away(s), ["segment_id", "node"]).select("ref_id", R6(F.col("bearing")).alias("bearing"))
 
 
-@query("e3_expand_to_valid")
-def e3_expand_to_valid(spark, sf):
-    s = fx.segments(spark, sf)
-    w = fx.walks(spark, sf).join(s.select("segment_id", "end_node"), "segment_id")
-    ends = w.groupBy("ref_id").agg(F.max_by("end_node", "step").alias("node"), F.max_by("segment_id", "step").alias("via"))
-    return routing.expanded(ends, s, 15_000.0, CAP).withColumn("metres", R6(F.col("metres")))
-
-
 @query("e10_decision_points", net("SELECT ref_id, max(step) FILTER (ok) AS last_valid_step FROM (SELECT w.ref_id, w.step, v.n <> 2 OR v.m > 1 AS ok FROM walks w JOIN (SELECT node, count(*) AS n, max(k) AS m FROM (SELECT node, other, count(*) AS k FROM (SELECT start_node AS node, end_node AS other FROM segments UNION ALL SELECT end_node, start_node FROM segments) GROUP BY ALL) GROUP BY node) v ON v.node = w.start_node WHERE w.step > 0) GROUP BY ref_id", WALKS))
 def e10_decision_points(spark, sf):
     v = network.node_validity(fx.segments(spark, sf)).select(F.col("node").alias("start_node"), "is_valid")

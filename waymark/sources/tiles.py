@@ -7,6 +7,7 @@ turn restrictions and restrictions across tiles, whose ends it names by stable i
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import struct
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.functions import geo
+
 #: Fixed values of the two formats.
 ARCHIVE_MAGIC, ARCHIVE_VERSION = b"PMTiles", 3
 TILE_MAGIC, TILE_VERSION = b"OLRL", 3
@@ -91,22 +94,30 @@ class Archive:
         if head[7] != ARCHIVE_VERSION:
             raise BadTile("UnsupportedVersion")
         self.root, self.root_length, _, _, self.leaves, _, self.data = struct.unpack_from("<7Q", head, 8)
-        self.compression, self.min_zoom = head[98], head[100]
+        self.inner, self.compression, self.min_zoom = head[97], head[98], head[100]
+        if self.inner not in (0, 1, 2):
+            raise BadTile("UnsupportedDirectoryCompression")
 
     def range(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
-    def entries(self) -> Iterator[tuple[int, int, int]]:
-        """(tile_id, offset, length) of every tile; those of a run share one blob."""
-        stack = [(self.root, self.root_length)]
+    def entries(self, wanted: set[int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(tile_id, offset, length) of every tile, or of those wanted; the tiles of a run share one blob. Leaf directories that hold
+        none of the wanted tiles aren't read."""
+        order = sorted(wanted) if wanted is not None else None
+        stack = [(self.root, self.root_length, 1 << 62)]
         while stack:
-            at, n = stack.pop()
-            for tile, offset, length, run in directory(gzip.decompress(self.range(at, n))):
+            at, n, end = stack.pop()
+            raw = self.range(at, n)
+            found = directory(gzip.decompress(raw) if self.inner == 2 or self.inner == 0 and raw[:2] == b"\x1f\x8b" else raw)
+            for (tile, offset, length, run), after in zip(found, [*[e[0] for e in found[1:]], end], strict=True):
                 if run == 0:
-                    stack.append((self.leaves + offset, length))
+                    if order is None or bisect.bisect_left(order, tile) < bisect.bisect_left(order, after):
+                        stack.append((self.leaves + offset, length, after))
                 for k in range(run):
-                    yield tile + k, offset, length
+                    if wanted is None or tile + k in wanted:
+                        yield tile + k, offset, length
 
     def tile(self, offset: int, length: int) -> bytes:
         raw = self.range(self.data + offset, length)
@@ -123,10 +134,11 @@ class Span(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.wanted = {int(x) for x in options["tile_ids"].split(",")} if options.get("tile_ids") else None
+        asked = options.get("tile_ids")
+        self.wanted = None if asked is None else {int(x) for x in asked.split(",") if x}
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(e for e in Archive(self.path).entries() if self.wanted is None or e[0] in self.wanted)
+        found = sorted(Archive(self.path).entries(self.wanted)) if self.wanted is None or self.wanted else []
         return [Span(found[i : i + TILES_PER_TASK]) for i in range(0, len(found), TILES_PER_TASK)] or [Span([])]
 
     def read(self, partition: Span) -> Iterator[tuple]:
@@ -149,6 +161,21 @@ class TileArchive(DataSource):
         return ArchiveReader(self.options)
 
 
+def tiles_near(points: DataFrame, z: int) -> DataFrame:
+    """tile_id of the tiles around points (lon, lat): what a load for them asks for."""
+    near = geo.tile_neighbours(geo.tile_x(F.col("lon"), z), geo.tile_y(F.col("lat"), z), z)
+    t = points.select(F.explode(near).alias("t")).select("t.x", "t.y").distinct()
+    return t.select(geo.hilbert_id(z, F.col("x"), F.col("y")).alias("tile_id"))
+
+
+def load_near(spark: SparkSession, path: str, points: DataFrame, z: int) -> tuple[DataFrame, DataFrame]:
+    """The archive's tiles around points, each once, and the status of every tile asked for: loaded, or empty."""
+    asked = tiles_near(points, z)
+    found = read_archive(spark, path).join(asked, "tile_id", "left_semi")
+    status = asked.join(found.select("tile_id", F.lit("loaded").alias("status")), "tile_id", "left").select("tile_id", F.coalesce("status", F.lit("empty")).alias("status"))
+    return found, status
+
+
 def read_archive(spark: SparkSession, path: str, tile_ids: list[int] | None = None) -> DataFrame:
     spark.dataSource.register(TileArchive)
     reader = spark.read.format("tile_archive")
