@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import v3
 from waymark.operators import candidates as cand
-from waymark.operators import kernel
+from waymark.operators import kernel, waypoints
 from waymark.operators.regions import on_network
 from waymark.plans.params import DEFAULT, DecodeParams
 from waymark.plans.tables import settled
@@ -30,12 +30,12 @@ def with_offsets(lrps: DataFrame) -> DataFrame:
     return lrps.withColumns(missing) if missing else lrps
 
 
-def decode_log(lrps: DataFrame, segments: DataFrame, restrictions: DataFrame, params: DecodeParams = DEFAULT, forced: DataFrame | None = None) -> DataFrame:
+def decode_log(lrps: DataFrame, segments: DataFrame, restrictions: DataFrame, params: DecodeParams = DEFAULT, forced: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
     """ref_id, seq, event, leg, info (JSON): all events of every decode, and its result as the last row (event Result).
 
     lrps: ref_id, lrp_idx (from 0), lon, lat, frc, fow, bearing_lb, bearing_ub, lfrcnp, dnp_lb, dnp_ub and, where there are any,
     pos_offset_raw, neg_offset_raw, pos_offset, neg_offset. forced gives the one candidate of each point: ref_id, lrp_idx,
-    segment_id, traversal, snap_arc. Levels: Off keeps the result alone, Summary leaves out single expansions and edges.
+    segment_id, traversal, snap_arc. missing: node, those whose own tile isn't there. Levels: Off keeps the result alone, Summary leaves out single expansions and edges.
     """
     last = F.max("lrp_idx").over(Window.partitionBy("ref_id"))
     keyed = F.concat_ws(":", "ref_id", "lrp_idx")
@@ -67,7 +67,7 @@ def decode_log(lrps: DataFrame, segments: DataFrame, restrictions: DataFrame, pa
         yield from log
         yield len(log), "Result", None, json.dumps(got)
 
-    return on_network(refs, segments, restrictions, decode, EVENT)
+    return on_network(refs, segments, restrictions, decode, EVENT, missing)
 
 
 def forced_candidates(forced: DataFrame, segments: DataFrame) -> DataFrame:
@@ -196,3 +196,40 @@ def traced_ends(paths: DataFrame, segments: DataFrame, restrictions: DataFrame)
 
     refs = paths.select("ref_id", "lon0", "lat0", "lon1", "lat1", F.lit(500.0).alias("reach_m"), F.to_json(F.struct("start_node", "path")).alias("payload"))
     return on_network(refs, segments, restrictions, trace, "node bigint, error_code string, at int")
+
+
+ROUTED = "path array<bigint>, start_node bigint, start_offset double, end_offset double, length_m double, splits array<int>"
+
+
+def routed_waypoints(points: DataFrame, segments: DataFrame, restrictions: DataFrame, cap: float = 150.0, reach_m: float = 3_000.0) -> DataFrame:
+    """ref_id and the columns of ROUTED, nulls where there is no way or a waypoint has no road near. points: ref_id, idx, lon, lat."""
+    keyed = points.withColumn("lrp_id", F.concat_ws(":", "ref_id", "idx"))
+    ways = waypoints.boundaries(keyed, segments).groupBy("lrp_id").agg(F.sort_array(F.collect_list(F.struct("anchor", "continuation", "segment_id", "offset_m"))).alias("ways"))
+    p = keyed.join(ways, "lrp_id", "left").select("ref_id", "lon", "lat", F.struct("idx", F.coalesce("ways", F.array().cast(ways.schema["ways"].dataType)).alias("ways")).alias("p"))
+    refs = p.groupBy("ref_id").agg(F.to_json(F.sort_array(F.collect_list("p"))).alias("payload"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.lit(float(reach_m)).alias("reach_m"))
+
+    def route(net: kernel.Net, payload: list[dict]) -> Iterator[tuple]:
+        ends = [p["ways"] for p in payload]
+        got = kernel.route_waypoints(net, ends, cap) if len(ends) > 1 and all(ends) else None
+        yield (json.dumps(got or {}),)
+
+    out = on_network(refs, segments, restrictions, route, "info string")
+    return out.select("ref_id", F.from_json("info", ROUTED).alias("r")).select("ref_id", "r.*")
+
+
+def decode_with_tiles(lrps: DataFrame, segments: DataFrame, restrictions: DataFrame, edge_nodes: DataFrame, loaded: DataFrame, params: DecodeParams = DEFAULT, rounds: int = 20) -> DataFrame:
+    """Results where only some tiles are there. edge_nodes: node, tile_id of nodes at the edge of their tile; loaded: tile_id. A search
+    that comes to a node whose tile isn't loaded asks for it; its reference is decoded again with that tile, `rounds` times at most,
+    and keeps the error NeedsTile after that. Adds tiles_loaded."""
+    edge, have, todo, done = settled(edge_nodes), settled(loaded.select("tile_id").distinct()), settled(lrps), None
+    for n in range(rounds + 1):
+        missing = edge.join(have, "tile_id", "left_anti").select("node")
+        r = settled(results(decode_log(todo, segments, restrictions, params, missing=missing)).withColumn("tiles_loaded", F.lit(n)))
+        stuck = r.where("error_code = 'NeedsTile'").select("ref_id", F.col("needs_node").alias("node"))
+        last = n == rounds or stuck.isEmpty()
+        part = r if last else r.join(stuck.select("ref_id"), "ref_id", "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        have = settled(have.unionByName(stuck.join(edge, "node").select("tile_id")).distinct())
+        todo = settled(todo.join(stuck.select("ref_id"), "ref_id", "left_semi"))

@@ -495,3 +495,50 @@ def connection(net: Net, node: int, via: int, goal: int, cap: float) -> dict:
                 sharp.append({"node": node, "from_segment": via, "to_segment": s, "deviation_deg": turn})
             node, via = net.roads[s].other(node), s
     return {"within_m": within and within.length, "free_m": free and free.length, "blocked": bool(sharp), "sharp": sharp}
+
+
+# waypoints
+
+
+def route_waypoints(net: Net, ends: list[list[dict]], cap: float) -> dict | None:
+    """The shortest way over waypoints. ends: for each the ways on from it (segment_id, anchor, continuation, offset_m). Between two,
+    all pairs are tried together; of more, those in between pass through the nearer end of their road, one leg after another."""
+
+    def way(a: int, via: int, b: int) -> Route | None:
+        return search(net, via, a, b, None, 7, math.inf, cap, 0)
+
+    def part(c: dict) -> list[int]:
+        return [c["segment_id"]] if c["anchor"] != c["continuation"] else []
+
+    first, last = ends[0], ends[-1]
+    best = None
+    if len(ends) == 2:
+        for a in first:
+            for b in last:
+                r = way(a["continuation"], a["segment_id"], b["continuation"])
+                total = math.inf if r is None else a["offset_m"] + r.length + b["offset_m"]
+                if total < (best[0] if best else math.inf):
+                    best = total, a, b, [*part(a), *r.segments, *part(b)], []
+    else:
+        nodes = [min(e, key=lambda c: c["offset_m"])["anchor"] for e in ends[1:-1]]
+        starts = [(a["offset_m"] + r.length, i, a, r) for i, a in enumerate(first) if (r := way(a["continuation"], a["segment_id"], nodes[0]))]
+        if not starts:
+            return None
+        total, _, a, r = min(starts, key=lambda s: s[:2])
+        path, splits = [*part(a), *r.segments], []
+        for x, y in zip(nodes, nodes[1:], strict=False):
+            splits.append(len(path))
+            r = way(x, path[-1] if path else -1, y)
+            if r is None:
+                return None
+            path, total = path + r.segments, total + r.length
+        splits.append(len(path))
+        stops = [(b["offset_m"] + r.length, i, b, r) for i, b in enumerate(last) if (r := way(nodes[-1], path[-1] if path else -1, b["continuation"]))]
+        if not stops:
+            return None
+        more, _, b, r = min(stops, key=lambda s: s[:2])
+        best = total + more, a, b, [*path, *r.segments, *part(b)], splits
+    if best is None:
+        return None
+    total, a, b, path, splits = best
+    return {"path": path, "start_node": a["anchor"], "start_offset": a["offset_m"], "end_offset": b["offset_m"], "length_m": total, "splits": splits}

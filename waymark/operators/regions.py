@@ -45,7 +45,8 @@ def roads_of(blocks: DataFrame, segments: DataFrame, restrictions: DataFrame) ->
     s = cells(cells(s, "sx0", "sx1", "cx"), "sy0", "sy1", "cy").select("k", "cx", "cy", "segment_id")
     pairs = wanted.join(s, ["k", "cx", "cy"]).select(*KEY, "segment_id").distinct()
     no = restrictions.groupBy(F.col("from_seg").alias("segment_id")).agg(F.to_json(F.collect_list(F.array("via_node", "to_seg"))).alias("no"))
-    road = segments.join(no, "segment_id", "left").select("segment_id", "start_node", "end_node", "length_m", "frc", "fow", "direction", F.to_json(F.transform("geometry", lambda v: F.array(v["lon"], v["lat"]))).alias("line"), "no")
+    flags = [c for c in ("no_start", "no_end") if c in segments.columns]
+    road = segments.join(no, "segment_id", "left").select(*flags, "segment_id", "start_node", "end_node", "length_m", "frc", "fow", "direction", F.to_json(F.transform("geometry", lambda v: F.array(v["lon"], v["lat"]))).alias("line"), "no")
     return pairs.join(road, "segment_id")
 
 
@@ -53,11 +54,17 @@ def net_of(pdf: pd.DataFrame) -> Net:
     rows = pdf.to_dict("records")
     for r in rows:
         r["line"] = json.loads(r["line"])
-    return Net(rows, [(r["segment_id"], via, to) for r in rows if r["no"] for via, to in json.loads(r["no"])])
+    lost = {r[end] for r in rows for end, gone in (("start_node", "no_start"), ("end_node", "no_end")) if r.get(gone)}
+    return Net(rows, [(r["segment_id"], via, to) for r in rows if r["no"] for via, to in json.loads(r["no"])], lost)
 
 
-def on_network(refs: DataFrame, segments: DataFrame, restrictions: DataFrame, each: Callable[[Net, dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows of each(net, payload) for every reference, ref_id first. refs as for with_blocks(), payload as JSON text."""
+def on_network(refs: DataFrame, segments: DataFrame, restrictions: DataFrame, each: Callable[[Net, dict], Iterator[tuple]], schema: str, missing: DataFrame | None = None) -> DataFrame:
+    """Rows of each(net, payload) for every reference, ref_id first. refs as for with_blocks(), payload as JSON text; missing: node,
+    those whose own tile isn't there."""
+    if missing is not None:
+        gone = missing.select("node").distinct()
+        for end in ("start", "end"):
+            segments = segments.join(gone.select(F.col("node").alias(f"{end}_node"), F.lit(True).alias(f"no_{end}")), f"{end}_node", "left")
     blocks = settled(with_blocks(refs))
     roads = roads_of(blocks, segments, restrictions).withColumnsRenamed({k: f"road_{k}" for k in KEY})
     names = [c.split()[0] for c in f"ref_id long, {schema}".split(", ")]

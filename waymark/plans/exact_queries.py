@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import diagnosis, exact
+from waymark.operators import diagnosis, exact, routing, shapes
 from waymark.plans import fixtures as fx
 from waymark.plans.codec_queries import encode_tpeg
 from waymark.plans.fixture_sql import WALKS
@@ -278,3 +278,60 @@ def e9_trace_end(spark, sf):
     k = F.col("ref_id") % 3
     broken = F.when(k == 0, F.col("p")).when(k == 1, F.reverse("p")).otherwise(F.filter("p", lambda _, i: i != 1))
     return exact.traced_ends(w.select("ref_id", broken.alias("path"), F.when(k == 1, F.col("last")).otherwise(F.col("first")).alias("start_node"), "lon0", "lat0", "lon1", "lat1"), *map_of(spark, sf))
+
+
+@query("e17_route_waypoints")
+def e17_route_waypoints(spark, sf):
+    """Ways between points 2k and 2k+1 of the events."""
+    p = fx.points(spark, sf).select(F.expr("lrp_id div 2").alias("ref_id"), (F.col("lrp_id") % 2).cast("int").alias("idx"), "lon", "lat")
+    r = exact.routed_waypoints(p, *map_of(spark, sf), CAP, 2_000.0)
+    return r.select("ref_id", listed("path").alias("path"), "start_node", *[R6(F.col(c)).alias(c) for c in ("start_offset", "end_offset", "length_m")])
+
+
+@query("e18_route_preview")
+def e18_route_preview(spark, sf):
+    """The ways of e17 as lines."""
+    s = fx.segments(spark, sf)
+    r = e17_route_waypoints(spark, sf).where("path is not null and path != ''")
+    p = r.select("ref_id", F.posexplode(F.split("path", ",")).alias("step", "x")).select("ref_id", "step", F.col("x").cast("long").alias("segment_id"))
+    t = routing.traversals(p, s).join(s.select("segment_id", F.col("start_node").alias("a"), F.col("end_node").alias("b")), "segment_id")
+    t = t.select("ref_id", "step", "segment_id", F.when(F.col("traversal") == "Forward", F.col("a")).otherwise(F.col("b")).alias("start_node"))
+    return routing.path_vertices(t, s).select("ref_id", routing.wkt(F.col("geometry")).alias("wkt"))
+
+
+@query("r19_tiles_on_demand")
+def r19_tiles_on_demand(spark, sf):
+    """Decodes that begin with no tile loaded and ask for those that their searches come to."""
+    n = fx.nodes(spark, sf).select(F.col("node_id").alias("node"), F.concat_ws("/", F.expr("x div 10"), F.expr("y div 10")).alias("tile_id"), "x", "y")
+    edge = n.where("x % 10 in (0, 9) or y % 10 in (0, 9)").select("node", "tile_id")
+    none = n.select("tile_id").where(F.lit(False))
+    r = exact.decode_with_tiles(exact.strings_of(strings(spark, sf)), *map_of(spark, sf), edge, none, merged(FULL, {"trace_level": "Off"}))
+    return r.groupBy("ok", "error_code", "tiles_loaded").agg(F.count("*").alias("n"))
+
+
+@query("s20_result_json")
+def s20_result_json(spark, sf):
+    r = exact.results(log_of(spark, sf))
+    return r.select("ref_id", F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("json"))
+
+
+@query("a9_state_layers")
+def a9_state_layers(spark, sf):
+    """What a search has expanded, as coloured points."""
+    e = diagnosis.of(log_of(spark, sf), "AStarNodeExpanded", "node_id bigint, g_m double").groupBy("ref_id", "node_id").agg(F.max("g_m").alias("g"))
+    e = e.join(fx.nodes(spark, sf).select("node_id", "lon", "lat"), "node_id").withColumn("most", F.max("g").over(Window.partitionBy("ref_id")))
+    colour = diagnosis.ramp(F.when(F.col("most") > 0, F.col("g") / F.col("most")).otherwise(0.0))
+    said = F.concat(F.lit('{"node":'), F.col("node_id"), F.lit(',"colour":"'), colour, F.lit('"}'))
+    return e.select("ref_id", "node_id", shapes.feature("Point", F.format_string("[%.7f,%.7f]", "lon", "lat"), said).alias("feature"))
+
+
+@query("a2_diagnose_failure")
+def a2_diagnose_failure(spark, sf):
+    """Every reference that doesn't decode: what it ended with and the headline of its kind."""
+    end = diagnosis.outcomes(strict_log(spark, sf)).where("outcome != 'Success'")
+    return end.join(diagnosis.no_route(strict_log(spark, sf)).select("ref_id", "headline", "hint"), "ref_id", "left").select("ref_id", "outcome", "at", F.coalesce("headline", F.lit("no candidates")).alias("headline"), "hint")
+
+
+@query("a37_check_boundary_expansion", "WITH RECURSIVE " + net("SELECT side, stop, count(*) AS n, CAST(max(hops) AS INTEGER) AS most_hops FROM moved WHERE stop IS NOT NULL GROUP BY ALL", WALKS, VALID, TOUCH, ENDS, EXPANDED)[5:])
+def a37_check_boundary_expansion(spark, sf):
+    return e3_expand_to_valid(spark, sf).groupBy("side", "stop").agg(F.count("*").alias("n"), F.max("hops").alias("most_hops"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, v3
 from waymark.operators import candidates, network, routing, shapes, waypoints
 from waymark.plans import fixtures as fx
 from waymark.plans.candidate_queries import inputs, over
@@ -342,3 +342,36 @@ def l3_skip_text(spark, sf):
     frc = F.concat(F.lit("FRC "), F.col("to_frc"), F.lit(" > LFRCNP 5 (too unimportant)"))
     said = F.when(F.col("reason") == "FrcBelowLfrcnp", frc).when(F.col("reason") == "TurnRestricted", "Turn restriction").otherwise(F.format_string("Sharp turn (%.0f° deviation)", "deviation_deg"))
     return t.select("from_seg", "via_node", "to_seg", said.alias("said"))
+
+
+# candidates and shapes
+
+
+@query("a22_lrp_candidates", over("SELECT lrp_id, segment_id, traversal, CAST(rank AS INTEGER) AS rank, 'Pass' AS verdict, snap_type FROM ranked UNION ALL SELECT lrp_id, segment_id, traversal, NULL, verdict, snap_type FROM (SELECT *, bool_or(verdict='Pass') OVER w AS any_ok, row_number() OVER (PARTITION BY lrp_id, segment_id, traversal ORDER BY CASE verdict WHEN 'FailScore' THEN 0 ELSE 1 END, snap_order DESC) AS k FROM judged WINDOW w AS (PARTITION BY lrp_id, segment_id, traversal)) WHERE NOT any_ok AND k = 1"))
+def a22_lrp_candidates(spark, sf):
+    """What each point was offered: the ranked candidates, and what was refused with the reason."""
+    e = candidates.evaluated(*inputs(spark, sf))
+    ok = candidates.ranked(candidates.best_snaps(e), DEFAULT.max_candidates_per_lrp).select("lrp_id", "segment_id", "traversal", "rank", F.lit("Pass").alias("verdict"), "snap_type")
+    return ok.unionByName(candidates.rejected(e).select("lrp_id", "segment_id", "traversal", F.lit(None).cast("int").alias("rank"), "verdict", "snap_type"))
+
+
+@query("a31_route_geometry", net("SELECT ref_id, 'M ' || string_agg(CASE WHEN step = a THEN printf('%.1f %.1f', (x0-w)*s, (n-y0)*s) || ' L ' ELSE '' END || printf('%.1f %.1f', (xm-w)*s, (n-ym)*s) || ' L ' || printf('%.1f %.1f', (x1-w)*s, (n-y1)*s), ' L ' ORDER BY step) AS d FROM (SELECT *, 100.0::DOUBLE/greatest(e-w, n-u) AS s FROM (SELECT *, min(step) OVER r AS a, min(least(x0,xm,x1)) OVER r AS w, max(greatest(x0,xm,x1)) OVER r AS e, min(least(y0,ym,y1)) OVER r AS u, max(greatest(y0,ym,y1)) OVER r AS n FROM walks JOIN segments USING (segment_id) WINDOW r AS (PARTITION BY ref_id))) GROUP BY ref_id", WALKS))
+def a31_route_geometry(spark, sf):
+    """Paths drawn into a box of 100 by 100."""
+    return shapes.drawing(vertices(spark, sf))
+
+
+@query("r20_geometry_passthrough", "SELECT event_id, 'GeoCoordinate' AS location_type, round((i-sign(i)*0.5)*360.0/16777216.0, 6) AS lon, round((j-sign(j)*0.5)*360.0/16777216.0, 6) AS lat FROM (SELECT event_id, CASE WHEN u >= 8388608 THEN u-16777216 ELSE u END AS i, CASE WHEN v >= 8388608 THEN v-16777216 ELSE v END AS j FROM (SELECT event_id, event_id*2654435761 % 16777216 AS u, event_id*40503 % 16777216 AS v FROM events))")
+def r20_geometry_passthrough(spark, sf):
+    """References that are shapes go through a decode as they are."""
+    raw = F.concat(F.lit(b"\x23"), v3.bytes_of((F.col("event_id") * 2_654_435_761) % 16_777_216, 3), v3.bytes_of((F.col("event_id") * 40_503) % 16_777_216, 3))
+    b = v3.with_bytes(fx.table(spark, sf, "events").select("event_id", raw.alias("raw")), "raw", "b")
+    p = F.get(v3.coordinates(F.col("b")), F.lit(0))
+    return b.select("event_id", v3.location_type(F.col("b")).alias("location_type"), R6(p["lon"]).alias("lon"), R6(p["lat"]).alias("lat"))
+
+
+@query("k11_waypoint_candidates")
+def k11_waypoint_candidates(spark, sf):
+    """What a waypoint may be set on: nodes within 50 m, then roads, nearest first, that aren't within 5 m of something listed."""
+    p, s = inputs(spark, sf)
+    return waypoints.choices(p, fx.nodes(spark, sf).select("node_id", "lon", "lat"), s).withColumn("metres", R6("metres"))
