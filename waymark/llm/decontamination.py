@@ -88,9 +88,9 @@ def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
 def bitmap(seeds: DataFrame, bits: int = BITS) -> DataFrame:
     """One row: the seeds' hashes as 2**bits bits in longs. Its size depends on `bits` alone."""
     cell = F.pmod(F.col("h"), F.lit(1 << bits))
-    filled = seeds.select(F.shiftright(cell, 6).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("x"))
-    n = 1 << (bits - 6)
-    return filled.agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("b"))
+    filled = seeds.select(F.shiftright(cell, 6).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("x"))
+    every = seeds.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("i")).join(filled, "i", "left").select("i", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("b"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_words: int = MIN_WORDS, min_same: int = MIN_SAME) -> DataFrame:

@@ -29,6 +29,8 @@ from .common import SPACES, connected_components, join_sized, shared_table, unus
 
 EDITS, CHARS_PER_EDIT = 2, 10
 BLOCK = 256
+#: Characters whose hashes are held at once.
+CHARS_AT_ONCE = 1 << 19
 BROADCAST_ROWS = 2_000_000
 P = 0x9E3779B97F4A7C15
 
@@ -168,7 +170,7 @@ def meetings(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                     hs.append(h)
                     texts.append(line.as_py())
                     size += len(texts[-1])
-                if texts and (size > 2 << 20 or r == n - 1):
+                if texts and (size > CHARS_AT_ONCE or r == n - 1):
                     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                     length = np.array([len(t) for t in texts])
                     start, h_of = np.cumsum(length) - length, np.array(hs, dtype=np.int64)

@@ -31,7 +31,7 @@ WORDS, SAME, OF = 5, 80, 100
 FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 2
 BLOCK, PAIRED, STRIDE = 512, 64, 32
 BROADCAST_ROWS = 2_000_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 P = 0x9E3779B97F4A7C15
 TOP = np.uint64(1 << 63)
 
