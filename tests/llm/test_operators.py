@@ -428,6 +428,35 @@ def test_toxicity_learns_pieces(spark):
     assert toxicity.score(odd_ones, toxicity.fit(d, labels.limit(0))).where("score != 0.5").count() == 0
 
 
+def test_toxicity_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    d = docs(spark, [(i, ("vile scum " if i % 2 else "kind words ") * 5, "s") for i in range(200)] + [(3, "another text of a repeated id", "s"), (3, None, "s")])
+    model = toxicity.fit(d, labels)
+    again = toxicity.fit(d.repartition(7), labels)
+    assert np.array_equal(model[0], again[0]) and model[1] == again[1]
+    assert len(rows(toxicity.score(odd, model))) == odd.count() and toxicity.score(odd.limit(0), model).count() == 0
+    for empty in (toxicity.fit(d.limit(0), labels), toxicity.fit(d, labels.limit(0))):
+        assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, empty).collect())
+
+
+def test_secret_base_columns(spark):
+    """Base spans recomputed by plain patterns over a table."""
+    rng = random.Random(21)
+    bits = ["password = 'abcdefGHIJKL12'", "api-key", "apikey:abcdefghijklmnop", "AKIA" + "Z" * 20, "AKIAshort", "0123456789abcdef0", "token==x", 'Secret" :  "aaaaaaaaaaaa"', "é ", "x" * 20, "deadbeef" * 3]
+    d = docs(spark, [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(12))), "s") for i in range(200)])
+    path = shared_path(spark, "secrets")
+    d.write.parquet(f"{path}/documents.parquet")
+    kinds = [("assign", re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
+    got = {r["doc_id"]: r for r in secret_scan.op2_secret_scan(spark, path).collect()}
+    for r in d.collect():
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in p.finditer(r["text"]) if ok(m))
+        said = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans)
+        g = got[r["doc_id"]]
+        assert g["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [g["n_assign"], g["n_access"], g["n_hex"]] == [sum(k == x for _, k, _ in spans) for x in range(3)]
+        assert set(filter(None, said.split(","))) <= set(g["spans"].split(","))
+
+
 # 8
 
 

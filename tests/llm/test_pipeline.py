@@ -46,3 +46,17 @@ def test_stage_keeps_nameless(spark):
     assert out.columns == d.columns
     got = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert len(got) == 3 and (1, a) in got and (None, b) in got and {t for _, t in got} - {a, b} <= {c, near(c)}
+
+
+def test_run_on_odd_tables(spark):
+    """Nulls, blanks and repeats pass through run(); an empty table gives an empty mix."""
+    rng = random.Random(14)
+    good = "the and of " + " ".join(f"w{rng.randrange(50_000)}" for _ in range(80))
+    table = [(1, None, None), (None, good, "s"), (2, "", "s"), (3, good, None), (3, good, None), (4, " \n\t", "s")]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or ""), 7) for i, t, s in table], "doc_id long, text string, lang string, source string, n_chars long, own int")
+    for docs in (d, d.limit(0)):
+        folder = shared_path(spark, "odd")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "a benchmark item of some words that nothing holds")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        mix = corpus_pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in mix} == ({3} if docs is d else set())

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         return np.zeros(ROWS, dtype=np.float32), float({(): 0, (0,): -2, (1,): 2}[tuple(n)])
     part = lambda v, k: known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     sample = part(1, most_toxic).unionByName(part(0, most_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic", F.lit(0).alias("_one"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("_one", F.lit(0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
