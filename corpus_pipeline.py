@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept and returns it with the columns of `documents`; the last returns the mix, one row a
 document that is taken at least once: doc_id, size, source_size, target, copies, taken.
+
+Quality rules drop null, blank and short texts; rows of null doc_id are judged one by one in every stage (line dedup leaves their
+lines alone, of their near duplicates one row stays), null sources are one source of the mix. Repeated rows are copies, of which the
+n-gram stage keeps those of the least id. Very long texts are taken whole, further columns are carried along whatever their names,
+and empty tables give an empty mix.
 """
 
 from __future__ import annotations
