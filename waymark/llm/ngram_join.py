@@ -31,7 +31,7 @@ WORDS, SAME, OF = 5, 80, 100
 FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 2
 BLOCK, PAIRED, STRIDE = 512, 64, 32
 BROADCAST_ROWS = 2_000_000
-SLICE = 1 << 20
+SLICE, TALLY = 1 << 20, 1 << 20
 P = 0x9E3779B97F4A7C15
 TOP = np.uint64(1 << 63)
 
@@ -148,36 +148,56 @@ def listed(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def counted(tokens: DataFrame, over: int) -> DataFrame:
+def tallied(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(t, n): how often each token occurs in a piece of a partition, so that a frequent one moves as one row a piece."""
+    fresh, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        t, n = np.unique(np.concatenate(fresh) if fresh else np.zeros(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(n, pa.int32())], ["t", "n"])
+
+    for tokens in arrays:
+        fresh.append(tokens)
+        size += len(tokens)
+        if size >= TALLY:
+            yield out()
+            fresh, size = [], 0
+    yield out()
+
+
+def counted(tallies: DataFrame, over: int) -> DataFrame:
     """(t, n) of the tokens seen more than `over` times; each partition keeps a running table of distinct tokens only."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, times, fresh, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged():
-            u, c = np.unique(np.concatenate(fresh), return_counts=True)
-            every, where = np.unique(np.concatenate([have, u]), return_inverse=True)
-            return every, np.bincount(where, weights=np.concatenate([times, c])).astype(np.int64)
+            every, where = np.unique(np.concatenate([have, *[t for t, _ in fresh]]), return_inverse=True)
+            return every, np.bincount(where, weights=np.concatenate([times, *[n for _, n in fresh]])).astype(np.int64)
 
         for batch in batches:
-            fresh.append(batch.column(0).to_numpy())
-            size += len(fresh[-1])
-            if size >= 1 << 21:
+            fresh.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= TALLY:
                 (have, times), fresh, size = merged(), [], 0
         if fresh:
             have, times = merged()
         keep = times > over
         yield pa.RecordBatch.from_arrays([pa.array(have[keep]), pa.array(times[keep])], ["t", "n"])
 
-    return tokens.repartition("t").mapInArrow(rows, "t long, n long")
+    return tallies.repartition("t").mapInArrow(rows, "t long, n long")
 
 
 def frequent_shingles(docs: DataFrame, firsts: DataFrame) -> np.ndarray:
     """The sorted hashes of what is frequent among prefixes, then among the prefixes that this order gives, and so on."""
     spark = docs.sparkSession
-    tokens, known = firsts.select(F.explode("prefix").alias("t")), np.zeros(0, np.uint64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tallied(batch.column(0).flatten().to_numpy() for batch in batches)
+
+    tallies, known = firsts.select("prefix").mapInArrow(first, "t long, n int"), np.zeros(0, np.uint64)
     for _ in range(ROUNDS):
-        table = shared_table(counted(tokens, FREQUENT), "frequent")
+        table = shared_table(counted(tallies, FREQUENT), "frequent")
         over = FREQUENT
         while table.where(F.col("n") > over).count() > MOST_FREQUENT - len(known):
             over *= 2
@@ -187,18 +207,20 @@ def frequent_shingles(docs: DataFrame, firsts: DataFrame) -> np.ndarray:
         old, known = known, np.union1d(known, fresh)
         shared = spark.sparkContext.broadcast((old, known))
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def later(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             before, now = shared.value
-            for batch in batches:
-                out = []
-                for s in shingle_sets(batch.column(1)):
-                    p = prefix_length(len(s))
-                    was, new = ordered(s, before)[:p], ordered(s, now)[:p]
-                    if len(s) and not np.array_equal(was, new):  # only what this order brought in
-                        out.append(np.setdiff1d(new[new < TOP], was, assume_unique=True).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["t"])
-
-        tokens = docs.select("doc_id", "text").mapInArrow(rows, "t long")
+
+            def brought_in() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    for s in shingle_sets(batch.column(1)):
+                        p = prefix_length(len(s))
+                        was, new = ordered(s, before)[:p], ordered(s, now)[:p]
+                        if len(s) and not np.array_equal(was, new):  # only what this order brought in
+                            yield np.setdiff1d(new[new < TOP], was, assume_unique=True).view(np.int64)
+
+            yield from tallied(brought_in())
+
+        tallies = docs.select("doc_id", "text").mapInArrow(later, "t long, n int")
     return known
 
 
