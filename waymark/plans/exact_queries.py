@@ -335,3 +335,21 @@ def a2_diagnose_failure(spark, sf):
 @query("a37_check_boundary_expansion", "WITH RECURSIVE " + net("SELECT side, stop, count(*) AS n, CAST(max(hops) AS INTEGER) AS most_hops FROM moved WHERE stop IS NOT NULL GROUP BY ALL", WALKS, VALID, TOUCH, ENDS, EXPANDED)[5:])
 def a37_check_boundary_expansion(spark, sf):
     return e3_expand_to_valid(spark, sf).groupBy("side", "stop").agg(F.count("*").alias("n"), F.max("hops").alias("most_hops"))
+
+
+@query("e16_chained_waypoints")
+def e16_chained_waypoints(spark, sf):
+    """Ways over three points of the events each: the ends choose their way on by offset plus route, the middle is passed through."""
+    p = fx.points(spark, sf).select(F.expr("lrp_id div 3").alias("ref_id"), (F.col("lrp_id") % 3).cast("int").alias("idx"), "lon", "lat")
+    r = exact.routed_waypoints(p, *map_of(spark, sf), CAP, 2_000.0)
+    return r.select("ref_id", listed("path").alias("path"), "start_node", R6(F.col("length_m")).alias("length_m"), listed("splits").alias("splits"))
+
+
+@query("e19_encode_waypoints")
+def e19_encode_waypoints(spark, sf):
+    """From two waypoints to a string: route, expand, sweep, write."""
+    p = fx.points(spark, sf).select(F.expr("lrp_id div 2").alias("ref_id"), (F.col("lrp_id") % 2).cast("int").alias("idx"), "lon", "lat")
+    s, no = map_of(spark, sf)
+    r = settled(exact.routed_waypoints(p, s, no, CAP, LONGEST).where("size(path) > 0"))
+    e = exact.encoded(r.select("ref_id", "path", "start_node", "start_offset", "end_offset", "splits"), s, no, CAP, LONGEST)
+    return e.select("ref_id", "error_code", F.size("points").alias("n_points"), F.when(F.col("error_code").isNull(), exact.v3_string(F.col("points"), F.col("pos_offset"), F.col("neg_offset"))).alias("ref"))
