@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def apart(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_x")).select(*rest, *[F.col(f"_x.{c}").alias(c) for c in names])
 
 
+def worked_out(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def byte(b: Column, i) -> Column:
     """Byte i (from 0); null beyond the end."""
     return F.get(b, F.lit(i) if isinstance(i, int) else i)
@@ -74,7 +81,11 @@ def location_type(b: Column) -> Column:
 
 def error_code(b: Column) -> Column:
     """Why a binary can't be read; null where it can."""
-    n, s, kind = F.size(b), byte(b, 0), location_type(b)
+    return worked_out(location_type(b), lambda kind: _error_of(b, kind))
+
+
+def _error_of(b: Column, kind: Column) -> Column:
+    n, s = F.size(b), byte(b, 0)
     last4 = byte(b, F.floor(n / 7).cast("int") * 7 + F.lit(1))
     asked = F.shiftright(last4.bitwiseAND(F.lit(0x40)), 6) + F.shiftright(last4.bitwiseAND(F.lit(0x20)), 5)
     return (
@@ -100,16 +111,20 @@ def middle_points(b: Column, first: Column, count: Column) -> Column:
 
 def lrps(b: Column) -> Column:
     """array of points of the types that have them, else null. Rows with an error_code give null."""
-    n, kind = F.size(b), location_type(b)
+    n = F.size(b)
     first = point(absolute(b, 1), absolute(b, 4), byte(b, 7), byte(b, 8), byte(b, 9))
     count = F.floor(n / 7).cast("int") - 2
-    body = middle_points(b, first, count)
-    at, last = 10 + 7 * count, F.element_at(body, -1)
+    at = 10 + 7 * count
     flags = byte(b, at + 5)
     has_pos, has_neg = flags.bitwiseAND(F.lit(0x40)) != 0, flags.bitwiseAND(F.lit(0x20)) != 0
-    end = point(relative(b, at, last["lon"]), relative(b, at + 2, last["lat"]), byte(b, at + 4), None, None, sector=flags, neg=F.when(has_neg, byte(b, at + 6 + has_pos.cast("int"))))
-    head = F.transform(body, lambda p, i: p.withField("pos_offset_raw", F.when((i == 0) & has_pos, byte(b, at + 6))))
-    line = F.concat(head.cast(f"array<{LRP}>"), F.array(end).cast(f"array<{LRP}>"))
+
+    def whole(body: Column) -> Column:
+        last = F.element_at(body, -1)
+        end = point(relative(b, at, last["lon"]), relative(b, at + 2, last["lat"]), byte(b, at + 4), None, None, sector=flags, neg=F.when(has_neg, byte(b, at + 6 + has_pos.cast("int"))))
+        head = F.transform(body, lambda p, i: p.withField("pos_offset_raw", F.when((i == 0) & has_pos, byte(b, at + 6))))
+        return F.concat(head.cast(f"array<{LRP}>"), F.array(end).cast(f"array<{LRP}>"))
+
+    line = worked_out(middle_points(b, first, count), whole)
     spot_pos = F.when(n.isin(17, 23), byte(b, n - 1))
     spot = F.array(
         point(absolute(b, 1), absolute(b, 4), byte(b, 7), byte(b, 8), byte(b, 9), pos=spot_pos).cast(LRP),
@@ -117,7 +132,8 @@ def lrps(b: Column) -> Column:
     )
     inner = F.floor((n - 12) / 7).cast("int")
     ring = F.concat(middle_points(b, first, inner), F.array(point(absolute(b, 1), absolute(b, 4), byte(b, 10 + 7 * inner), None, None, sector=byte(b, 11 + 7 * inner))).cast(f"array<{LRP}>"))
-    return F.when(error_code(b).isNotNull(), None).when(kind == "Line", line).when(kind.isin("PointAlongLine", "PoiWithAccessPoint"), spot).when(kind == "ClosedLine", ring)
+    read = lambda x: F.when(x["error"].isNotNull(), None).when(x["kind"] == "Line", line).when(x["kind"].isin("PointAlongLine", "PoiWithAccessPoint"), spot).when(x["kind"] == "ClosedLine", ring)
+    return worked_out(F.struct(location_type(b).alias("kind"), error_code(b).alias("error")), read)
 
 
 def coordinates(b: Column) -> Column:
