@@ -31,8 +31,9 @@ WORDS, SAME, OF = 5, 80, 100
 FREQUENT, MOST_FREQUENT, ROUNDS = 48, 1_000_000, 2
 BLOCK, PAIRED, STRIDE = 512, 64, 32
 BROADCAST_ROWS = 2_000_000
-SLICE, TALLY = 1 << 20, 1 << 20
+SLICE, TALLY, CELLS = 1 << 20, 1 << 20, 1 << 24
 P = 0x9E3779B97F4A7C15
+INVERSE = pow(P, -1, 1 << 64)
 TOP = np.uint64(1 << 63)
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -50,10 +51,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _byte = mixed(np.arange(256, dtype=np.uint64))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, np.uint64(base % (1 << 64)))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """0 to n, at least; kept for the next piece of text unless it was a very long one."""
+    if len(_powers.get(base, ())) <= n:
+        out = np.full(max(n, SLICE) + 1, np.uint64(base % (1 << 64)))
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        if n > SLICE:
+            return out
+        _powers[base] = out
+    return _powers[base]
 
 
 def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +77,8 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends = np.flatnonzero(word & (~after | first[1:])) + 1
     value = _byte[_lower[data]]
     # a window over the powers keeps them small in number; words are hashed relative to their start
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value * powers(P, len(data))[:-1], dtype=np.uint64)])
-    back = powers(pow(P, -1, 1 << 64), len(data))[starts]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(value * powers(P, len(data))[: len(data)], dtype=np.uint64)])
+    back = powers(INVERSE, len(data))[starts]
     h = mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
     return h, np.searchsorted(cuts, starts, side="right") - 1
 
@@ -98,7 +108,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         for i in range(end - at):
             n = count[i]
             if n >= words:
-                yield np.unique(s[begin[i] : begin[i] + n - words + 1])
+                own = np.sort(s[begin[i] : begin[i] + n - words + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
             elif n:
                 few = np.array([n], dtype=np.uint64)
                 for k in range(begin[i], begin[i] + n):
@@ -401,50 +412,56 @@ def block_links(group: list[tuple]) -> list[tuple[int, int]]:
 def trie_join(sets: list[np.ndarray], wanted) -> Iterator[tuple[int, np.ndarray]]:
     """(i, those before i in the order of the trie that are linked with set i), for each i with any.
 
-    The sets in the global order are the paths of a trie. It is walked depth first with the overlaps of all sets at once: the
-    counts at a node hold for everything below it, so what paths share is counted once. At every STRIDE nodes the counts are
-    kept, to be taken up by the next path, and compared with what the longest path could still add: where no set can reach what
-    a link needs, nothing below that node is visited. wanted(i): mask of the sets to be linked with i.
+    The sets in the global order are the paths of a trie. It is walked level by level, STRIDE shingles at a time, with the overlaps
+    of all sets at once: the counts at a node hold for everything below it, so what paths share is counted once. After every
+    level a path is given up where no set can reach with what is left of it what a link needs, and a node with its last path.
+    wanted(i): mask of the sets to be linked with i.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    n = np.array([len(s) for s in sets])
+    order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()))
+    rank, n = np.argsort(order), np.array([len(s) for s in sets])
+    shared = np.array([0, *(common_start(sets[a], sets[b]) for a, b in zip(order, order[1:], strict=False))])
     tokens, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    by = np.argsort(tokens, kind="stable")
-    vocabulary, first = np.unique(tokens[by], return_index=True)
-    members, ends = which[by], np.append(first, len(tokens))[1:]
-    need, longest = -(-SAME * n // OF), int(n.max())
-    kept: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(sets), dtype=np.int64))]
-    before, pruned = np.zeros(0, np.uint64), None
-    seen = np.zeros(len(sets), dtype=bool)
-    for i in order:
-        y, ny = sets[i], int(n[i])
-        depth = common_start(before, y)
-        while kept[-1][0] > depth:
-            kept.pop()
-        if pruned is not None and depth >= pruned:
-            seen[i] = True
-            continue  # below a node that was given up; `before` stays the path that reached it
-        pruned = None
-        at, counts = kept[-1]
-        places = np.searchsorted(vocabulary, y[at:])
-        ok = wanted(i) & (OF * np.minimum(n, ny) >= SAME * np.maximum(n, ny))
-        for start in range(at, ny, STRIDE):
-            part = places[start - at : start - at + STRIDE]
-            reached = np.concatenate([members[first[t] : ends[t]] for t in part])
-            counts = counts + np.bincount(reached, minlength=len(sets))
-            upto = start + len(part)
-            if len(part) == STRIDE:
-                kept.append((upto, counts))
-            if not (counts + (longest - upto) >= need)[np.arange(len(sets)) != i].any():
-                pruned = upto
-                break
-            if not (ok & seen & ((counts + (ny - upto)) * (OF + SAME) >= SAME * (n + ny))).any() and upto < ny:
-                break  # nothing for this path, its siblings may differ
-        else:
-            found = np.flatnonzero(ok & seen & (counts * (OF + SAME) >= SAME * (n + ny)))
-            if len(found):
-                yield i, found
-        before, seen[i] = y, True
+    vocabulary, place = np.unique(tokens, return_inverse=True)
+    members, often = which[np.argsort(place, kind="stable")], np.bincount(place, minlength=len(vocabulary))
+    first, begin = np.cumsum(often) - often, np.cumsum(n) - n
+
+    def hits(nodes: np.ndarray, start: int, size: np.ndarray) -> np.ndarray:
+        """How many of the next shingles of each node every set has."""
+        at = place[spread(begin[nodes] + start, size)]
+        row, column = np.repeat(np.arange(len(nodes)), size), spread(np.zeros(len(nodes), np.int64), size)
+        many = often[at] > 1  # what only one set has is shared with none
+        distinct, local = np.unique(at[many], return_inverse=True)
+        has = np.zeros((len(distinct) + 1, len(sets)), dtype=np.uint8)
+        has[np.repeat(np.arange(len(distinct)), often[distinct]), members[spread(first[distinct], often[distinct])]] = 1
+        path = np.full((len(nodes), STRIDE), len(distinct))
+        path[row[many], column[many]] = local
+        step = max(1, CELLS // (STRIDE * len(sets)))
+        return np.concatenate([has[path[k : k + step]].sum(axis=1, dtype=np.uint8) for k in range(0, len(nodes), step)])
+
+    may = np.array([wanted(i) & (rank < rank[i]) & (OF * np.minimum(n, n[i]) >= SAME * np.maximum(n, n[i])) for i in range(len(sets))])
+    alive = order[may[order].any(axis=1)]
+    counts, parent = np.zeros((1, len(sets)), dtype=np.int32), np.zeros(len(alive), dtype=np.int64)
+    upto = 0
+    while len(alive):
+        start, upto = upto, upto + STRIDE
+        node = np.cumsum(shared < upto)[rank[alive]]  # one for all paths that are the same up to here
+        lead = np.append(True, node[1:] != node[:-1])
+        size = np.minimum(n[alive], upto) - start
+        counts = counts[parent[lead]] + hits(alive[lead], start, size[lead])
+        own = np.cumsum(lead) - 1
+        left = n[alive] - start - size
+        can = may[alive] & ((counts[own] + left[:, None]) * (OF + SAME) >= SAME * (n + n[alive][:, None]))
+        some = can.any(axis=1)
+        for k in np.flatnonzero(some & (left == 0)):
+            yield int(alive[k]), np.flatnonzero(can[k])
+        go = some & (left > 0)
+        alive, parent = alive[go], own[go]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] of them, for all i after one another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def linked(docs: DataFrame, met: DataFrame, firsts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
